@@ -39,5 +39,18 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return record_groups(_read(spark, d, "paper_matches"), _read(spark, d, "papers_with_duplicates"))
 
 
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    from .tokens import encode_corpus
+
+    return encode_corpus(_read(spark, d, "documents"))
+
+
+def p9_containers(spark: SparkSession, d: str) -> DataFrame:
+    from .containers import pack
+    from .tokens import count_tokens
+
+    return pack(count_tokens(_read(spark, d, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
