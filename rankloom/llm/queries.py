@@ -52,5 +52,11 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack(count_tokens(_read(spark, d, "documents")))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    from .sentences import sentences
+
+    return sentences(_read(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
