@@ -33,6 +33,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return format_copies(_read(spark, d, "papers_with_duplicates"), _read(spark, d, "predictions"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    from .names import variant_pairs
+
+    return variant_pairs(_read(spark, d, "papers_with_duplicates"), _read(spark, d, "given_names"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     from .components import record_groups
 
