@@ -11,6 +11,12 @@ def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    from .matching import match_records
+
+    return match_records(_read(spark, d, "papers_with_duplicates")).select("rec_a", "rec_b")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     from .topn import best_items
 
