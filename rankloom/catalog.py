@@ -47,9 +47,16 @@ SELECT 'doi', rec_id, 0, externalids.doi FROM papers_with_duplicates WHERE regex
 """
 
 
+def _registered() -> tuple[dict[str, Query], dict[str, str]]:
+    from rankloom import registry
+    from rankloom.plans import ranking, scalars  # noqa: F401
+
+    return registry.QUERIES, registry.SQL
+
+
 def queries() -> dict[str, Query]:
-    return {"p4_found": p4_found}
+    return {"p4_found": p4_found} | _registered()[0]
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": P4_SQL}
+    return {"p4_found": P4_SQL} | _registered()[1]
