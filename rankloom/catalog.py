@@ -49,11 +49,16 @@ SELECT 'doi', rec_id, 0, externalids.doi FROM papers_with_duplicates WHERE regex
 
 def _registered() -> tuple[dict[str, Query], dict[str, str]]:
     from rankloom import registry
-    from rankloom.plans import evaluation, ranking, scalars  # noqa: F401
+    from rankloom.plans import evaluation, ranking, records, rerank, scalars, understand  # noqa: F401
 
     return registry.QUERIES, registry.SQL
 
 
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Every question's candidates reranked, explained and cut to the best 20."""
+    return _registered()[0]["H07_flagship"](spark, d)
+
+
 def queries() -> dict[str, Query]:
     return {"p4_found": p4_found} | _registered()[0]
 
