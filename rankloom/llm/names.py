@@ -284,25 +284,32 @@ def name_groups(records: DataFrame, given_names: DataFrame) -> DataFrame:
     )
     soft = F.col("how").isin("initial", "initial_typo", "nick", "abbr") & ~((F.col("how") == "abbr") & both_known)
     pairs = stage(pairs.select("*", F.coalesce(firm, F.lit(False)).alias("firm"), soft.alias("soft")), "judged")
-    links = pairs.where("firm").select("a", "b").unionByName(_resolved(pairs))
+    # Short forms first: a name and its short form are one candidate for an initial.
+    links = pairs.where("firm").select("a", "b")
+    links = stage(links.unionByName(_resolved(pairs.where("soft and not startswith(how, 'initial')"), _heads(links, support))), "spellings")
+    links = links.unionByName(_resolved(pairs.where("soft and startswith(how, 'initial')"), _heads(links, support)))
     entity = connected_components(links)
     return parsed.join(entity, "node", "left").select("name", F.coalesce("group_id", "node").alias("entity"))
 
 
-def _resolved(pairs: DataFrame) -> DataFrame:
+def _heads(links: DataFrame, support: DataFrame) -> DataFrame:
+    """(full, rep): of each linked node itself or the best supported node that it is linked with."""
+    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    ends = ends.join(support.toDF("b", "nb"), "b").groupBy("a").agg(F.max(F.struct(F.col("nb").alias("n"), F.col("b").alias("rep"))).alias("t"))
+    own = F.struct(F.col("n"), F.col("a"))
+    return ends.join(support.toDF("a", "n"), "a").select(F.col("a").alias("full"), F.when(own < F.struct("t.n", "t.rep"), F.col("t.rep")).otherwise(F.col("a")).alias("rep"))
+
+
+def _resolved(pairs: DataFrame, head: DataFrame) -> DataFrame:
     """(a, b): for each shortened name the one full name that it stands for.
 
     Candidates that are spellings of one name count as one (the best supported of them).
     Works in common decide first, then a single candidate, then three times the support
     of any other.
     """
-    firm = pairs.where("firm")
-    ends = firm.select("a", "b", "na", "nb").unionByName(firm.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("nb").alias("na"), F.col("na").alias("nb")))
-    head = ends.groupBy("a").agg(F.max(F.struct(F.col("nb").alias("n"), F.col("b").alias("rep"))).alias("t"), F.first("na").alias("own"))
-    head = head.select(F.col("a").alias("full"), F.when(F.struct(F.col("own"), F.col("a")) < F.struct("t.n", "t.rep"), F.col("t.rep")).otherwise(F.col("a")).alias("rep"))
     # The shortened side: a for initials; of short forms and abbreviations the shorter token.
     a_short = F.when(F.col("how").startswith("initial"), True).otherwise(F.length("x") < F.length("y")) | ((F.length("x") == F.length("y")) & (F.col("na") < F.col("nb")))
-    soft = pairs.where("soft").select(
+    soft = pairs.select(
         F.when(a_short, F.col("a")).otherwise(F.col("b")).alias("short"),
         F.when(a_short, F.col("b")).otherwise(F.col("a")).alias("full"),
         F.when(a_short, F.col("nb")).otherwise(F.col("na")).alias("n"),

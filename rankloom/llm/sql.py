@@ -1,5 +1,44 @@
 """DuckDB SQL for the queries of this package that SQL can express."""
 
+_CANON = "replace(lower(regexp_replace(coalesce({c}, ''), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', '', 'g')), 'ß', 'ss')"
+
+
+def canon(c: str) -> str:
+    return _CANON.format(c=c)
+
+
+_ITEMS = """items AS (
+  SELECT DISTINCT qid, pred_id, pos, p.title AS title, p.raw.day8_final_score AS score
+  FROM (SELECT qid, pred_id, unnest(papers) AS p, generate_subscripts(papers, 1) - 1 AS pos FROM predictions))"""
+
+P2 = f"""WITH {_ITEMS}
+SELECT * FROM (
+  SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, encode(title) NULLS LAST, pred_id, pos) AS INTEGER) AS place, pred_id, CAST(pos AS INTEGER) AS item_pos
+  FROM items WHERE score IS NOT NULL AND NOT isnan(score)) WHERE place <= 10"""
+
+P5 = f"""WITH {_ITEMS},
+recs AS (
+  SELECT rec_id, source, coalesce(nullif({canon('title')}, ''), {canon('display_name')}) AS t,
+    array_to_string(list_sort(list_filter(list_transform(CASE WHEN source = 'openalex' THEN list_transform(authorships, lambda a: a.author.display_name)
+      ELSE list_transform(authors, lambda a: a.name) END, lambda n: {canon('n')}), lambda n: n <> '')), '|') AS names,
+    coalesce(year, publication_year) AS y, coalesce(nullif({canon('doi')}, ''), {canon('externalids.doi')}) AS doi,
+    CASE WHEN starts_with(ltrim(venue), '{{') AND json_valid(venue) THEN {canon("venue->>'$.display_name'")} || '|' || {canon("venue->>'$.type'")} ELSE {canon('venue')} END AS v,
+    {canon('abstract')} AS a FROM papers_with_duplicates),
+rows AS (
+  SELECT 'papers' AS tab, rec_id AS id, 0 AS pos, concat_ws('~', source, t, coalesce(names, ''), coalesce(y::VARCHAR, ''), doi, v, a) AS k FROM recs
+  UNION ALL SELECT 'predictions', pred_id, pos, coalesce(qid, '') || '~' || {canon('title')} FROM items),
+firsts AS (SELECT *, first_value(id) OVER w AS first_id, first_value(pos) OVER w AS first_pos FROM (SELECT DISTINCT * FROM rows) WINDOW w AS (PARTITION BY tab, k ORDER BY id, pos))
+SELECT tab, first_id, CAST(first_pos AS INTEGER) AS first_pos, id AS copy_id, CAST(pos AS INTEGER) AS copy_pos FROM firsts WHERE (id, pos) <> (first_id, first_pos)"""
+
+_REF = "regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace({c}, '\\s+', '', 'g')), '^https?://.*/', ''), '^arxiv:', ''), '^(\\d{{4}}\\.\\d{{4,5}})v\\d+$', '\\1')"
+_GROUPS = f"""ids AS (SELECT rec_id, {_REF.format(c='ref')} AS k FROM (SELECT rec_id, unnest([source_record_id, paperid, id]) AS ref FROM papers_with_duplicates) WHERE ref IS NOT NULL),
+lk AS (SELECT a.rec_id AS a, b.rec_id AS b FROM paper_matches m JOIN ids a ON a.k = {_REF.format(c='m.left_ref')} JOIN ids b ON b.k = {_REF.format(c='m.right_ref')} WHERE m.is_match AND a.rec_id <> b.rec_id),
+e AS (SELECT a, b FROM lk UNION SELECT b, a FROM lk),
+reach AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b),
+grp AS (SELECT a AS rec_id, min(b) AS group_id FROM reach GROUP BY a)"""
+
+P7 = f"WITH RECURSIVE {_GROUPS} SELECT rec_id, group_id FROM grp"
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p2_found": P2, "p5_found": P5, "p7_found": P7}
