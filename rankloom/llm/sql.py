@@ -40,5 +40,30 @@ grp AS (SELECT a AS rec_id, min(b) AS group_id FROM reach GROUP BY a)"""
 P7 = f"WITH RECURSIVE {_GROUPS} SELECT rec_id, group_id FROM grp"
 
 
+_BLANK_ABSTRACT = """clickheretoreadtheabstract undefined null na abstractremoved noabstractavailable abstractmissing résuménondisponible xxx tba noabstract
+abstractnotavailable seepdf none keinezusammenfassungverfügbar sinresumen""".split()
+_BLANK_VENUE = "na notspecified unknownvenue venuemissing tobeannounced unknown misc null none".split()
+
+
+def _listed(words: list[str]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+P3 = f"""WITH RECURSIVE {_GROUPS},
+f AS (
+  SELECT rec_id, source, ingested_at, 'doi' AS field_name, CASE WHEN source = 'semantic_scholar' THEN externalids.doi ELSE doi END AS v FROM papers_with_duplicates
+  UNION ALL SELECT rec_id, source, ingested_at, 'abstract', abstract FROM papers_with_duplicates
+  UNION ALL SELECT rec_id, source, ingested_at, 'venue', CASE WHEN source = 'openalex' THEN CASE WHEN json_valid(venue) THEN venue->>'$.display_name' END ELSE venue END FROM papers_with_duplicates),
+w AS (SELECT *, {canon('v')} AS c FROM f WHERE v IS NOT NULL),
+ok AS (SELECT * FROM w WHERE
+  (field_name = 'doi' AND regexp_matches(v, '(?i)10\\.\\d{{4,9}}(/|%2f)\\s*\\S') AND NOT contains(v, '10.00000/'))
+  OR (field_name = 'abstract' AND c <> '' AND c NOT IN ({_listed(_BLANK_ABSTRACT)}) AND NOT starts_with(c, 'thisitemhasnoabstract') AND NOT starts_with(c, 'theabstractofrecord'))
+  OR (field_name = 'venue' AND c <> '' AND c NOT IN ({_listed(_BLANK_VENUE)})))
+SELECT group_id, field_name, rec_id FROM (
+  SELECT g.group_id, ok.field_name, ok.rec_id, row_number() OVER (PARTITION BY g.group_id, ok.field_name
+    ORDER BY coalesce(t.trust, 0) DESC, CASE WHEN ok.field_name = 'doi' THEN 0 ELSE len(c) END DESC, ok.ingested_at DESC NULLS LAST, ok.rec_id) AS n
+  FROM ok JOIN grp g USING (rec_id) LEFT JOIN source_trust t ON t.source = ok.source AND t.field_name = ok.field_name) WHERE n = 1"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2, "p5_found": P5, "p7_found": P7}
+    return {"p2_found": P2, "p3_found": P3, "p5_found": P5, "p7_found": P7}
