@@ -105,3 +105,11 @@ def test_match_records(spark):
     got = match_records(df).collect()
     assert {(r["rec_a"], r["rec_b"]) for r in got} == {(1, 2), (1, 4)} and all(0 <= r["confidence"] <= 1 for r in got)
     assert match_records(df.limit(0)).count() == 0
+
+
+def test_shared_identifier_needs_no_cosine(spark):
+    """A title cut to one word beside a long record: only the DOI brings them together."""
+    t = "Calibrated Dense Retrieval for Query Autocompletion in Museum Catalogues"
+    many = [("first", ("i", f"Ann Fokabarhara{c}")) for c in "abcdefghijklmnopqrstuvwxyz"]
+    recs = [record(1, "openalex", display_name=t, authorships=many, publication_year=2020, doi="10.1234/x"), record(2, "generic", title="Calibrated…", doi="10.1234/x")]
+    assert [(r["rec_a"], r["rec_b"]) for r in match_records(spark.createDataFrame(recs, RECORDS)).collect()] == [(1, 2)]
