@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions import ident as I
+from rankloom.functions.alike import alike_titles
 from rankloom.functions.text import ascii_words, letters_key, ratio, sequence_ratio, tokens
 from rankloom.plans.evaluation import PER, RANKED, per_query, ranked
 from rankloom.plans.inputs import CAND, candidates, gold, letters, norm, table
@@ -111,11 +112,16 @@ def d04(spark, d):
 
 @query("D05_review_pairs")
 def d05(spark, d):
-    """Records of one first author and year whose titles are alike but not equal, for review."""
-    r = records(spark, d).where("au <> '' and length(nt) >= 12 and yr is not null").select("rec_id", "nt", "au", "yr")
-    x, y = r.toDF("a", "ta", "au", "yr"), r.toDF("b", "tb", "au", "yr")
-    pairs = x.join(y, ["au", "yr"]).where((F.col("a") < F.col("b")) & (F.col("ta") != F.col("tb")) & (F.levenshtein("ta", "tb") <= F.greatest(F.length("ta"), F.length("tb")) * 0.15))
-    return pairs.withColumn("ratio", F.round(sequence_ratio(F.col("ta"), F.col("tb")), 9)).where("ratio >= 0.93").select("a", "b", "ratio")
+    """Records whose normalised titles are alike but not equal, for review; neither author nor year matters.
+
+    Distinct titles are compared once, in blocks of like length, after lossless bounds.
+    """
+    r = records(spark, d).where("nt <> ''").select("rec_id", "nt")
+    found = alike_titles(r.select(F.col("nt").alias("t")).distinct(), 0.93)
+    x, y = r.toDF("x", "ta"), r.toDF("y", "tb")
+    pairs = found.join(x, "ta").join(y, "tb")
+    first = F.col("x") < F.col("y")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(first, F.col("ab")).otherwise(F.col("ba")).alias("ratio")).where("ratio >= 0.93")
 
 
 @query("D06_keep_first", f"""WITH {CAND} SELECT qid, source, min(rank) AS rank, count(*) - 1 AS removed FROM cand GROUP BY qid, source, key""")
