@@ -111,10 +111,21 @@ n AS (SELECT count(DISTINCT doc_id) AS n FROM docs), idf AS (SELECT t, ln((SELEC
 s AS (SELECT row_id, doc_id, round(sum(w), 9) AS score FROM q JOIN docs USING (t) JOIN idf USING (t) GROUP BY ALL)
 SELECT * FROM (SELECT row_id, doc_id, score, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, doc_id) AS place FROM s) WHERE place <= 10""")
 def f07(spark, d):
+    """Local search over the documents of kind question, the subset that the SQL names."""
+    return local_search(spark, d, "doc_kind = 'question'")
+
+
+@query("F07_local_search_all")
+def f07_all(spark, d):
+    """Local search over every document that has a text."""
+    return local_search(spark, d)
+
+
+def local_search(spark, d, which: str = "true") -> DataFrame:
     """Inverted index over documents: tokens meet in one join, scores add up by document."""
     split = lambda c: F.explode(F.array_distinct(F.split(ascii_words(F.col(c)), " "))).alias("t")
     q = table(spark, d, "pasa_like_sample").where("question is not null").select("row_id", split("question"))
-    docs = table(spark, d, "documents").where("doc_kind = 'question' and text is not null").select("doc_id", split("text"))
+    docs = table(spark, d, "documents").where(which).where("text is not null").select("doc_id", split("text"))
     total = docs.agg(F.count_distinct("doc_id").alias("n"))
     idf = docs.where("length(t) > 3").groupBy("t").agg(F.count("*").alias("df")).join(F.broadcast(total)).select("t", F.log(F.col("n") / F.col("df")).alias("w"))
     s = q.join(docs, "t").join(idf, "t").groupBy("row_id", "doc_id").agg(F.round(F.sum("w"), 9).alias("score"))

@@ -115,14 +115,26 @@ def b30(spark, d):
 @query("B27_sequence_ratio")
 def b27(spark, d):
     c = candidates(spark, d).where("abstract is not null")
-    return c.select("qid", "pred_id", "item_pos", F.round(X.sequence_ratio(F.substring("title", 1, 200), F.substring("abstract", 1, 200)), 9).alias("ratio"))
+    return c.select("qid", "pred_id", "item_pos", F.round(X.sequence_ratio(F.col("title"), F.col("abstract")), 9).alias("ratio"))
 
 
 @query("B31_inverted_index", """WITH w AS (
   SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) - 1 AS p FROM documents WHERE doc_kind = 'question' AND text IS NOT NULL)
 SELECT doc_id, string_agg(w, ' ' ORDER BY p, w) AS text FROM w GROUP BY doc_id""")
 def b31(spark, d):
-    w = table(spark, d, "documents").where("doc_kind = 'question' and text is not null").select("doc_id", F.posexplode(F.split("text", " ")).alias("p", "w"))
+    """Texts of the documents of kind question, the subset that the SQL names."""
+    return rebuilt(spark, d, "doc_kind = 'question'")
+
+
+@query("B31_inverted_index_all")
+def b31_all(spark, d):
+    """Texts of every document that has one, abstracts and full texts too."""
+    return rebuilt(spark, d)
+
+
+def rebuilt(spark, d, which: str = "true"):
+    """(doc_id, text) from the word -> positions map of each text."""
+    w = table(spark, d, "documents").where(which).where("text is not null").select("doc_id", F.posexplode(F.split("text", " ")).alias("p", "w"))
     index = w.groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps"))
     index = index.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("index"))
     return index.select("doc_id", X.inverted_index_text(F.col("index")).alias("text"))
