@@ -182,6 +182,24 @@ def curve(spark, d) -> DataFrame:
     return p.select("qid", "k", tp.alias("tp"), ratio(2.0 * tp, n + F.col("gold_count")).alias("f"))
 
 
+def oracle(spark, d, most: int = 100) -> DataFrame:
+    """(qid, best_k, best_f1) over every prefix length up to ``most``, the shortest of the best; 0 without predictions.
+
+    Between two hits a longer prefix only loses, so the best one is 1 or ends at a hit.
+    """
+    h = hits(spark, d).where(F.col("rank") <= most).groupBy("qid").agg(F.array_sort(F.collect_list("rank")).alias("hit_ranks"))
+    at = lambda r, i: F.struct(F.round(2.0 * (i + 1) / (r + F.col("gold_count")), 12).alias("f"), (-r).alias("k"))
+    found = per_query(spark, d).join(h, "qid", "left").withColumn("best", F.array_max(F.transform("hit_ranks", at)))
+    none = F.when(F.col("predicted") > 0, 1).otherwise(0)
+    return found.select("qid", F.coalesce(-F.col("best.k"), none).alias("best_k"), F.round(F.coalesce("best.f", F.lit(0.0)), 9).alias("best_f1"))
+
+
+@query("L09_oracle_every_k")
+def l09_every_k(spark, d):
+    """The oracle cut-off over every K; L09_oracle_k searches the grid that its SQL names."""
+    return oracle(spark, d)
+
+
 @query("L08_fixed_k_curve", f"WITH {_CURVE} SELECT k, round(avg(f), 9) AS macro_f1, sum(tp)::BIGINT AS tp FROM curve GROUP BY k")
 def l08(spark, d):
     return curve(spark, d).groupBy("k").agg(F.round(F.avg("f"), 9).alias("macro_f1"), F.sum("tp").cast("bigint").alias("tp"))

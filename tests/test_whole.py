@@ -36,3 +36,23 @@ def test_ratio_of_whole_texts(spark, tmp_path):
     t, a = "dense retrieval", "x" * 190 + " a study of dense retrieval"
     write(spark, tmp_path, predictions=([(1, "q", "arxiv", "w", [paper(t, abstract=a)])], PREDS))
     assert [r["ratio"] for r in run(spark, tmp_path, "B27_sequence_ratio")] == [round(SequenceMatcher(None, t, a).ratio(), 9)]
+
+
+def lists(ranks_of_hits, n, qid="q"):
+    """A list of n items of which those at the ranks are gold."""
+    word = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:04d}") + qid.translate(str.maketrans("0123456789", "klmnopqrst"))
+    pred = (sum(map(ord, qid)), qid, "arxiv", "w", [paper(word(i), score=1 - i / 1000) for i in range(1, n + 1)])
+    return pred, (pred[0], qid, "w", "[" + ",".join(f'"{word(i)}"' for i in ranks_of_hits) + "]")
+
+
+def test_oracle_takes_every_k(spark, tmp_path):
+    cases = {"qa": ([1, 2, 3, 4, 5, 6, 7], 12), "qb": ([*range(1, 24)], 40), "qc": ([9], 9), "qd": ([150], 160), "qe": ([3, 7, 8], 30)}
+    both = [lists(*c, qid=q) for q, c in cases.items()]
+    write(spark, tmp_path, predictions=([p for p, _ in both], PREDS), pasa_like_sample=([g for _, g in both] + [(1, "qn", "w", '["zz"]')], ASKED))
+    want = {"qn": (0, 0.0)}
+    for q, (hit, n) in cases.items():
+        f = {k: round(2 * sum(h <= k for h in hit) / (k + len(hit)), 9) for k in range(1, min(n, 100) + 1)}
+        best = max(f.values())
+        want[q] = (min(k for k in f if f[k] == best), best)
+    assert {r["qid"]: (r["best_k"], r["best_f1"]) for r in run(spark, tmp_path, "L09_oracle_every_k")} == want
+    assert want["qa"] == (7, 1.0) and want["qb"] == (23, 1.0)
