@@ -485,22 +485,50 @@ def i10(spark, d):
     return scaled(spark, d)[1].select("feature", rnd("med"), rnd("scale"))
 
 
+def nearest(z: DataFrame, train: DataFrame, n: int = 7, block: int = 4_000) -> DataFrame:
+    """(qid, near): the n nearest (d, k) of ``train`` (qid, z, k) by root mean square distance, itself left out.
+
+    A task compares one block of queries with one of ``train``; queries that have no other to meet are left out.
+    """
+    parts = lambda df: max(1, -(-df.count() // block))
+    of = lambda m: F.pmod(F.xxhash64("qid"), F.lit(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    queries, labelled = parts(z), parts(train)
+    left = z.select("qid", "z", F.lit(None).cast("int").alias("k"), of(queries).alias("i"), every(labelled).alias("j"))
+    right = train.select("qid", "z", F.col("k").cast("int").alias("k"), every(queries).alias("i"), of(labelled).alias("j"))
+
+    def compare(group):
+        import numpy as np
+        import pyarrow as pa
+
+        a, b = group.filter(group.column("k").is_null()), group.filter(group.column("k").is_valid())
+        width = len(FEATURES)
+        points = lambda t: np.array(t.column("z").to_pylist(), float).reshape(-1, width)
+        ids, ks = np.array(b.column("qid").to_pylist(), object), np.array(b.column("k").to_pylist(), np.int64)
+        known, out = points(b), []
+        for qid, v in zip(a.column("qid").to_pylist(), points(a)):
+            dist = np.round(np.sqrt(((known - v) ** 2).sum(1) / width), 9)
+            at = np.nonzero(ids != qid)[0]
+            at = at[np.lexsort((ks[at], dist[at]))[:n]]
+            out += [(qid, float(dist[t]), int(ks[t])) for t in at]
+        cols = list(zip(*out)) or [(), (), ()]
+        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.float64(), pa.int64()))], names=["qid", "d", "k"])
+
+    best = left.unionByName(right).groupBy("i", "j").applyInArrow(compare, "qid string, d double, k long")
+    return best.groupBy("qid").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "k"))), 1, n).alias("near"))
+
+
 @query("I11_neighbour_cutoff")
 def i11(spark, d):
-    """Cut-off of a query from the seven nearest queries that have gold, weights 1 / (distance + 0.25).
+    """Cut-off of a query from the seven nearest of all queries that have gold, weights 1 / (distance + 0.25).
 
-    The training queries are a fixed labelled set; its vectors are packed into one small row
-    (at most 2,000 queries) and compared in the JVM.
+    Targets are the best of every K. Vectors meet in blocks; the best seven of each block are merged.
     """
     dev, sc = scaled(spark, d)
     z = dev.select("qid", "feature", "v").join(F.broadcast(sc), "feature").groupBy("qid").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("feature", ((F.col("v") - F.col("med")) / F.col("scale")).alias("z")))), lambda x: x["z"]).alias("z"))
-    best = curve(spark, d).groupBy("qid").agg(F.max_by("k", F.struct(F.round("f", 12), -F.col("k"))).alias("k"))
-    train = z.join(best, "qid").orderBy("qid").limit(2000).agg(F.collect_list(F.struct("qid", "z", "k")).alias("train"))
-    x = z.join(F.broadcast(train))
-    dist = lambda t: F.sqrt(F.aggregate(F.zip_with(F.col("z"), t["z"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, q: s + q) / len(FEATURES))
-    near = F.slice(F.array_sort(F.transform(F.filter("train", lambda t: t["qid"] != F.col("qid")), lambda t: F.struct(F.round(dist(t), 9).alias("d"), t["k"].alias("k")))), 1, 7)
-    x = x.withColumn("near", near)
+    train = z.join(oracle(spark, d).select("qid", F.col("best_k").alias("k")), "qid")
+    x = nearest(z, train)
     total = lambda f: F.aggregate("near", F.lit(0.0), f)
     k = total(lambda s, n: s + n["k"] / (n["d"] + 0.25)) / total(lambda s, n: s + 1 / (n["d"] + 0.25))
     snapped = F.array_min(F.transform(F.array(*map(F.lit, GRID)), lambda g: F.struct(F.abs(g - F.col("kk")).alias("d"), g.alias("k"))))["k"]

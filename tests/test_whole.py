@@ -56,3 +56,25 @@ def test_oracle_takes_every_k(spark, tmp_path):
         want[q] = (min(k for k in f if f[k] == best), best)
     assert {r["qid"]: (r["best_k"], r["best_f1"]) for r in run(spark, tmp_path, "L09_oracle_every_k")} == want
     assert want["qa"] == (7, 1.0) and want["qb"] == (23, 1.0)
+
+
+def test_neighbours_among_all_labelled(spark):
+    from rankloom.plans.evaluation import FEATURES, nearest
+
+    width = len(FEATURES)
+    points = {f"q{i:05d}": ([float(i % 97), float(i)] + [0.0] * (width - 2), i % 30 + 1) for i in range(2300)}
+    train = spark.createDataFrame([(q, z, k) for q, (z, k) in points.items()], "qid string, z array<double>, k int")
+    got = {r["qid"]: [tuple(x) for x in r["near"]] for r in nearest(train.select("qid", "z"), train, block=700).collect()}
+    for q in ("q00000", "q01999", "q02299"):
+        dist = lambda z: round((sum((a - b) ** 2 for a, b in zip(z, points[q][0])) / width) ** 0.5, 9)
+        assert got[q] == sorted((dist(z), k) for o, (z, k) in points.items() if o != q)[:7]
+    assert len(got) == 2300
+
+
+def test_neighbour_cutoff_sees_labels_beyond_a_prefix(spark, tmp_path):
+    """2,000 labelled questions with best K 1 come first by qid; those like the asked one, with best K 3, come last."""
+    far, near = [lists([1], 2, qid=f"a{i:04d}") for i in range(2000)], [lists([1, 2, 3], 9, qid=f"z{i}") for i in range(9)]
+    preds = [(i, *p[1:]) for i, (p, _) in enumerate(far + near)]
+    write(spark, tmp_path, predictions=(preds, PREDS), pasa_like_sample=([(i, *g[1:]) for i, (_, g) in enumerate(far + near)], ASKED))
+    got = {r["qid"]: (r["weighted_k"], r["k"]) for r in run(spark, tmp_path, "I11_neighbour_cutoff")}
+    assert len(got) == 2009 and {got[f"z{i}"] for i in range(9)} == {(3.0, 3)} and got["a0000"] == (1.0, 1)
