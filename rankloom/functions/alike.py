@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 #: Titles of a block; two blocks are compared in one task.
 BLOCK = 8_000
@@ -49,6 +50,11 @@ def common_letters(a: str, b: str) -> int:
     return len(a) - v.bit_count()
 
 
+@F.udf(returnType=IntegerType(), useArrow=True)
+def common_letters_of(a: str, b: str) -> int:
+    return common_letters(a, b)
+
+
 def _counts(titles: list[str]) -> np.ndarray:
     """Bits (title, class and depth): whether the title has at least so many letters of the class."""
     flat = np.frombuffer("".join(titles).encode("utf-32-le"), np.uint32) % CLASSES

@@ -66,10 +66,14 @@ def c03(spark, d):
 
 @query("D12_near_matches_by_author")
 def d12(spark, d):
-    """Best unmatched gold of each unmatched candidate by shared words, at least three quarters of them."""
+    """Unmatched gold most like each unmatched candidate: letter ratio 0.97 or word jaccard 0.94.
+
+    Ratio 0.90 beside the same first author and near years would do too, but neither table has authors or years.
+    """
     from rankloom.plans.records import d11
 
-    return d11(spark, d).groupBy("qid", "rank").agg(F.max_by("gold_index", F.struct("jaccard", -F.col("gold_index"))).alias("gold_index"), F.max("jaccard").alias("jaccard"))
+    best = F.struct(F.round("ratio", 4), -F.col("gold_index"))
+    return d11(spark, d).where("ratio >= 0.97 or jaccard >= 0.94").groupBy("qid", "rank").agg(F.max_by("gold_index", best).alias("gold_index"), F.max_by("jaccard", best).alias("jaccard"))
 
 
 @query("D14_relevance_vector", f"WITH {_REL} SELECT qid, string_agg(rel::VARCHAR, '' ORDER BY rank) AS vector FROM rel WHERE rank <= 20 GROUP BY qid")

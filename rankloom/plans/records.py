@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions import ident as I
-from rankloom.functions.alike import alike_titles
+from rankloom.functions.alike import alike_titles, common_letters_of
 from rankloom.functions.text import ascii_words, letters_key, ratio, sequence_ratio, tokens
 from rankloom.plans.evaluation import PER, RANKED, per_query, ranked
 from rankloom.plans.inputs import CAND, candidates, gold, letters, norm, table
@@ -136,13 +136,20 @@ def d07(spark, d):
 
 @query("D11_near_matches")
 def d11(spark, d):
-    """Unmatched candidates beside unmatched gold of the same query that share telling words, with both likenesses."""
+    """Unmatched candidates beside unmatched gold of the same query: letter ratio 0.88 or word jaccard 0.75, with both.
+
+    Every two titles of a query meet; the ratio is taken unless its bounds (lengths, longest
+    common subsequence) keep it below 0.88 and the jaccard doesn't reach 0.75 either.
+    """
     c, g = ranked(spark, d), gold(spark, d)
-    a = c.join(g.select("qid", "tkey"), ["qid", "tkey"], "left_anti").select("qid", "rank", "title", F.explode(tokens(F.col("title"))).alias("t"))
-    b = g.join(c.select("qid", "tkey"), ["qid", "tkey"], "left_anti").select("qid", "gold_index", F.col("title").alias("gtitle"), F.explode(tokens(F.col("title"))).alias("t"))
-    pairs = a.join(b, ["qid", "t"]).groupBy("qid", "rank", "gold_index").agg(F.count("*").alias("n"), F.first("title").alias("title"), F.first("gtitle").alias("gtitle"))
-    jac = ratio(F.col("n"), F.size(F.array_union(tokens(F.col("title")), tokens(F.col("gtitle")))))
-    pairs = pairs.withColumn("jaccard", F.round(jac, 9)).where("jaccard >= 0.5").withColumn("ratio", F.round(sequence_ratio(ascii_words(F.col("title")), ascii_words(F.col("gtitle"))), 9))
+    told = lambda t, p: (ascii_words(F.col(t)).alias(f"{p}n"), tokens(F.col(t)).alias(f"{p}t"))
+    a = c.join(g.select("qid", "tkey"), ["qid", "tkey"], "left_anti").select("qid", "rank", *told("title", "a")).where("an <> ''")
+    b = g.join(c.select("qid", "tkey"), ["qid", "tkey"], "left_anti").select("qid", "gold_index", *told("title", "b")).where("bn <> ''")
+    jac = ratio(F.size(F.array_intersect("at", "bt")), F.size(F.array_union("at", "bt")))
+    long = F.length("an") + F.length("bn")
+    pairs = a.join(b, "qid").withColumn("jaccard", F.round(jac, 9)).where((F.col("jaccard") >= 0.75) | (2 * F.least(F.length("an"), F.length("bn")) >= 0.88 * long - 1e-6))
+    pairs = pairs.where((F.col("jaccard") >= 0.75) | (2 * common_letters_of(F.col("an"), F.col("bn")) >= 0.88 * long - 1e-6))
+    pairs = pairs.withColumn("ratio", F.round(sequence_ratio(F.col("an"), F.col("bn")), 9))
     return pairs.where("ratio >= 0.88 or jaccard >= 0.75").select("qid", "rank", "gold_index", "jaccard", "ratio")
 
 

@@ -78,3 +78,17 @@ def test_neighbour_cutoff_sees_labels_beyond_a_prefix(spark, tmp_path):
     write(spark, tmp_path, predictions=(preds, PREDS), pasa_like_sample=([(i, *g[1:]) for i, (_, g) in enumerate(far + near)], ASKED))
     got = {r["qid"]: (r["weighted_k"], r["k"]) for r in run(spark, tmp_path, "I11_neighbour_cutoff")}
     assert len(got) == 2009 and {got[f"z{i}"] for i in range(9)} == {(3.0, 3)} and got["a0000"] == (1.0, 1)
+
+
+def test_near_matches_by_letters_alone(spark, tmp_path):
+    """Two changed words of five leave a jaccard below a half; so does a missing space."""
+    given = ["Bilushtune: Robuste Verfahren zur Zitationsanalyoe", "deepretrieval", "other thing", "graph pruning of tables"]
+    gold = ["momishtune robuste verfahrem zur zitationsanalyse", "deep retrievel", "日本", "tables pruning of graph"]
+    answer = "[" + ",".join(f'"{g}"' for g in gold) + "]"
+    write(spark, tmp_path, predictions=([(1, "q", "arxiv", "w", [paper(t, 1 - i / 10) for i, t in enumerate([*given, "中文"])])], PREDS), pasa_like_sample=([(1, "q", "w", answer)], ASKED))
+    norm = ["bilushtune robuste verfahren zur zitationsanalyoe", *given[1:]]
+    want = {(i + 1, i): round(SequenceMatcher(None, norm[i], gold[i]).ratio(), 9) for i in (0, 1)}
+    got = {(r["rank"], r["gold_index"]): (r["ratio"], r["jaccard"]) for r in run(spark, tmp_path, "D11_near_matches")}
+    assert {k: r for k, (r, j) in got.items() if j < 0.5} == {k: v for k, v in want.items() if v >= 0.88} and want[2, 1] >= 0.88
+    assert got[4, 3][1] == 1.0 and set(got) <= {(1, 0), (2, 1), (4, 3)}
+    assert {(r["rank"], r["gold_index"]) for r in run(spark, tmp_path, "D12_near_matches_by_author")} == {(4, 3)}
