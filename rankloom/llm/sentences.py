@@ -41,7 +41,16 @@ _NUMBER_ONLY = frozenset("no p s m art max min lat sun sat mar dec ed eds ex app
 # Words before a day or an ordinal in German.
 _ORDINAL_BEFORE = frozenset("der die das den dem des am im vom zum bis ab seit zur beim ein eine einer einem einen".split())
 
-_TERMINATORS = ".!?。！？｡．।॥؟۔‼⁇⁈⁉…։።፧၊။៕"
+# The other code points of the property Sentence_Terminal, but the one dot leader, as ranges.
+_STERM = """
+61d-61e 700-702 7f9 837 839 83d-83e 1368 166e 1735-1736 17d4 1803 1809 1944-1945 1aa8-1aab 1b4e-1b4f 1b5a-1b5b 1b5e-1b5f 1b7d-1b7f 1c3b-1c3c
+1c7e-1c7f 203d 2cf9-2cfb 2e2e 2e3c 2e53-2e54 2e60-2e61 a4ff a60e-a60f a6f3 a6f7 a876-a877 a8ce-a8cf a92f a9c8-a9c9 aa5d-aa5f aaf0-aaf1 abeb
+fe12 fe15-fe16 fe52 fe56-fe57 10a56-10a57 10f55-10f59 10f86-10f89 11047-11048 110be-110c1 11141-11143 111c5-111c6 111cd 111de-111df
+11238-11239 1123b-1123c 112a9 113d4-113d5 1144b-1144c 115c2-115c3 115c9-115d7 11641-11642 1173c-1173e 11944 11946 11a42-11a43 11a9b-11a9c
+11c41-11c42 11ef7-11ef8 11f43-11f44 16a6e-16a6f 16af5 16b37-16b38 16b44 16d6e-16d6f 16e98 1bc9f 1da88
+"""
+_FURTHER = "".join(chr(c) for low, _, high in (r.partition("-") for r in _STERM.split()) for c in range(int(low, 16), int(high or low, 16) + 1))
+_TERMINATORS = ".!?。！？｡．।॥؟۔‼⁇⁈⁉…։።፧၊။៕" + _FURTHER
 _CLOSERS = "\"'”’»)]}›」』）］】〉》〕｣“"
 _CANDIDATE = re.compile(rf"([{re.escape(_TERMINATORS)}]+)([{re.escape(_CLOSERS)}]*)")
 # French sets its marks apart: « Est-ce assez ? » and « fragile. »
@@ -94,6 +103,8 @@ def _goes_on(text: str, start: int, dot: int, end: int, after: int, stop: int) -
         return True
     if first in "。！？｡．।॥؟۔":
         return False
+    if first in _FURTHER:
+        return first in "\u203d\u2e2e\u2e3c\u2e53\u2e54" and head.islower()
     if first in "!?‼⁇⁈⁉" or "!" in marks or "?" in marks:
         return head.islower()
     if first == "…" or marks.startswith(".."):

@@ -113,3 +113,9 @@ def test_shared_identifier_needs_no_cosine(spark):
     many = [("first", ("i", f"Ann Fokabarhara{c}")) for c in "abcdefghijklmnopqrstuvwxyz"]
     recs = [record(1, "openalex", display_name=t, authorships=many, publication_year=2020, doi="10.1234/x"), record(2, "generic", title="Calibrated…", doi="10.1234/x")]
     assert [(r["rec_a"], r["rec_b"]) for r in match_records(spark.createDataFrame(recs, RECORDS)).collect()] == [(1, 2)]
+
+
+def test_terminators_of_other_scripts():
+    for mark in "\u0700\u0701\u0702\u07f9\u1368\u1803\u1809\u1c7e\u203d\ua6f3\uaaf0":
+        parts = [f"ab cd{mark}", f"Ef gh{mark}"]
+        assert [" ".join(parts)[a:b] for a, b in split_text(" ".join(parts))] == parts
