@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 KEY = "spark.checkpoint.dir"
+#: What a stage has shuffled is of no use once it is written.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: dict[str, str] = {}
 
 
@@ -43,7 +45,12 @@ def stage(df: DataFrame, tag: str, **measures: Column) -> DataFrame:
     spark = df.sparkSession
     path = f"{root(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows"), *(c.alias(k) for k, c in measures.items())).write.parquet(path)
+    before = spark.conf.get(CLEAN, "false")
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.observe(seen, F.count(F.lit(1)).alias("rows"), *(c.alias(k) for k, c in measures.items())).write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._rankloom_path, out.measured = path, seen.get
     return out
