@@ -119,3 +119,35 @@ def test_terminators_of_other_scripts():
     for mark in "\u0700\u0701\u0702\u07f9\u1368\u1803\u1809\u1c7e\u203d\ua6f3\uaaf0":
         parts = [f"ab cd{mark}", f"Ef gh{mark}"]
         assert [" ".join(parts)[a:b] for a, b in split_text(" ".join(parts))] == parts
+
+
+def test_crowded_bucket_is_split(spark, monkeypatch):
+    """200 records in one bucket (one author, one word) and 200 under one DOI: fewer pairs, no match lost."""
+    import rankloom.llm.matching as m
+
+    monkeypatch.setattr(m, "CELL", 20)
+    rnd = random.Random(3)
+    made = ["".join(rnd.choice("bcdfghklmnprst") + rnd.choice("aeiou") for _ in range(5)) for _ in range(260)]
+    recs = []
+    for i in range(200):
+        doi, who, word = ("10.1234/x", f"Ann {made[-1 - i]}", "") if i < 100 else (None, "Ann Lee", "zzzzzzzz ")
+        words = f"{word}{made[i]} {made[i + 30]} {made[i + 60]}"
+        recs.append(record(2 * i, "openalex", display_name=words, authorships=[("first", ("i", who))], publication_year=2020, doi=doi))
+        recs.append(record(2 * i + 1, "generic", title=words.replace(made[i], made[i][:-1] + "x"), authors=[(who,)], year=2020, doi=doi))
+    recs += [record(1000, "openalex", display_name="Zzzzzzzz", authorships=[("first", ("i", "Ann Lee"))]), record(1001, "generic", title="Zzzzzzzz", authors=[("Ann Lee",)])]
+    df = spark.createDataFrame(recs, RECORDS)
+    trained = spark.sparkContext.broadcast(({}, {}))
+    placed = m.stage(m._raw(df).mapInArrow(m._place(trained), m.PLACED), "placed")
+    want = {(2 * i, 2 * i + 1) for i in range(200)} | {(1000, 1001)}
+    got = {tuple(r) for r in m.candidates(placed, trained).collect()}
+    assert want <= got and len(got) < 5_000  # of 20,201 pairs
+    assert want <= {(r[0], r[1]) for r in match_records(df).select("rec_a", "rec_b").collect()}
+
+
+def test_confidence_is_calibrated_on_held_out_pairs(spark):
+    from rankloom.llm.matching import held_out
+
+    rnd = random.Random(1)
+    rows = [(i, i + 1, rnd.gauss(0.8 if i % 2 else 0.3, 0.1), True, i % 2) for i in range(400)]
+    got = held_out(spark.createDataFrame(rows, "rec_a long, rec_b long, cosine double, same boolean, label int"))
+    assert got["pairs"] > 100 and got["brier"] < 0.05 < got["brier_of_the_mean"]
