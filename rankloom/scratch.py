@@ -48,7 +48,7 @@ def stage(df: DataFrame, tag: str, **measures: Column) -> DataFrame:
     before = spark.conf.get(CLEAN, "false")
     spark.conf.set(CLEAN, "true")
     try:
-        df.observe(seen, F.count(F.lit(1)).alias("rows"), *(c.alias(k) for k, c in measures.items())).write.parquet(path)
+        df.observe(seen, F.count(F.lit(1)).alias("rows"), *(c.alias(k) for k, c in measures.items())).write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
