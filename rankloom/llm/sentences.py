@@ -1,165 +1,342 @@
 """Sentence boundaries across languages and scripts.
 
-Standard sentence-break rules: a terminator of any script, with the closing quotes and
-brackets behind it, ends a sentence unless what follows shows that it goes on (a lower
-case letter, a comma, an open quotation around it) or the word before is an abbreviation
-of one of the languages. Lines are read first: blank lines, list markers, headings and
-lines that stand alone bound a unit, a mere line wrap doesn't. Thai has no terminators;
-there a space between two Thai letters separates sentences.
+Every character is mapped to its class of the standard property Sentence_Break, so a
+text becomes a string of classes, and the standard's rules SB3 to SB11 are read off that
+string: a terminator of any script with the closing marks behind it ends a sentence,
+unless a letter or number follows at once (SB6, SB7), a small letter comes next (SB8) or
+a mark that continues the sentence (SB8a). Three tailorings that the standard allows are
+laid over them: abbreviations of the languages of the block suppress a boundary;
+quotations and brackets, matched by a stack at any length, keep theirs inside; and lines
+are read first, so that blank lines, list markers, headings and lines that stand alone
+bound a unit while a mere line wrap doesn't. Thai has no terminators; there a space
+between two Thai letters separates sentences.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
+from statistics import median
 
+import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Abbreviations after which a sentence goes on, whatever follows.
-_ALWAYS = """
-e.g i.e vs cf viz fig figs sec secs eq eqs no nos vol vols pp p ch chap app tab ref refs ed eds ca approx resp incl
-dr mr mrs ms prof st univ gen rev hon sgt col capt lt gov sen rep pres messrs mt ft dept ver lat max min avg est ex
-jan feb mar apr jun jul aug sep sept oct nov dec
-z.b u.a d.h i.d.r bzw vgl abb s nr bd hrsg bspw sog ggf evtl inkl zzgl mio mrd str kap anm tel u.ä o.ä v.a z.t s.o s.u i.a m.e n.chr v.chr
-p.ex env éd éds al art chap fasc janv févr avr juil déc mme mlle mm m
-p.ej ej aprox núm núms cap caps pág págs sr sra srta sres dra ud uds ene abr ago dic véase fig tel ee
-см рис табл проф др.проф акад доц напр ок т.е т.н т.к тыс млн млрд стр гл разд прим янв февр мар апр июн июл авг сент окт нояб дек им ул
-डॉ प्रो श्री पं
-""".split()
+# Abbreviations after which a sentence goes on, whatever follows. "all": used in every language.
+_ALWAYS = {
+    "all": "mr mrs ms e.g i.e vs cf viz al fig figs vol vols pp dr prof ed eds jan feb apr jun jul aug sep sept oct nov dec ca app ref max min p no nos",
+    "en": "sec secs eq eqs ch chap tab refs approx resp incl mr mrs ms st univ gen rev hon sgt col capt lt gov sen rep pres messrs mt ft dept ver lat avg est ex mar",
+    "de": "tab z.b u.a d.h i.d.r bzw vgl abb s nr bd hrsg bspw sog ggf evtl inkl zzgl mio mrd str kap anm tel u.ä o.ä v.a z.t s.o s.u i.a m.e n.chr v.chr hr fr st bzgl max min",
+    "fr": "p.ex env éd éds art chap fasc janv févr avr juil déc mme mlle mm m st",
+    "es": "p.ej ej aprox núm núms cap caps pág págs sr sra srta sres dra ud uds ene abr ago dic véase tel ee art",
+    "ru": "см рис табл проф др.проф акад доц напр ок т.е т.н т.к тыс млн млрд стр гл разд прим янв февр мар апр июн июл авг сент окт нояб дек им ул",
+    "hi": "डॉ प्रो श्री पं",
+}
 # Abbreviations that may also end a sentence; a capital, a digit or an opening mark after them starts a new one.
-_MAYBE = """
-etc inc corp ltd co jr sr al ph.d u.s u.k u.n e.u a.m p.m b.c a.d d.c
-usw uvm ff u.s.w e.v
-т.д т.п и.т.д др пр г гг в вв
-uu
-""".split()
-ALWAYS, MAYBE = frozenset(_ALWAYS), frozenset(_MAYBE)
+_MAYBE = {
+    "all": "etc inc corp ltd co jr ph.d u.s u.k u.n e.u a.m p.m b.c a.d d.c",
+    "de": "usw uvm ff u.s.w e.v",
+    "es": "uu",
+    "ru": "т.д т.п и.т.д др пр г гг в вв",
+    "en": "",
+    "fr": "",
+    "hi": "",
+}
+# Frequent words that tell the language of a text in Latin letters.
+_TELLING = {
+    "en": "the of and to in is that for with are this we was by on not as from which it",
+    "de": "der die das und ist nicht ein eine mit auf für von den dem des sich auch werden wird im zu es",
+    "fr": "le la les des est et une un dans pour que qui sur pas ne avec par du ce sont en il",
+    "es": "el la los las de que y en un una es por con no para se del al como su más",
+}
 # Abbreviations before a number only; elsewhere they are words or units.
 _NUMBER_ONLY = frozenset("no p s m art max min lat sun sat mar dec ed eds ex app tab str tel cap".split())
 # Words before a day or an ordinal in German.
 _ORDINAL_BEFORE = frozenset("der die das den dem des am im vom zum bis ab seit zur beim ein eine einer einem einen".split())
 
-# The other code points of the property Sentence_Terminal, but the one dot leader, as ranges.
-_STERM = """
-61d-61e 700-702 7f9 837 839 83d-83e 1368 166e 1735-1736 17d4 1803 1809 1944-1945 1aa8-1aab 1b4e-1b4f 1b5a-1b5b 1b5e-1b5f 1b7d-1b7f 1c3b-1c3c
-1c7e-1c7f 203d 2cf9-2cfb 2e2e 2e3c 2e53-2e54 2e60-2e61 a4ff a60e-a60f a6f3 a6f7 a876-a877 a8ce-a8cf a92f a9c8-a9c9 aa5d-aa5f aaf0-aaf1 abeb
-fe12 fe15-fe16 fe52 fe56-fe57 10a56-10a57 10f55-10f59 10f86-10f89 11047-11048 110be-110c1 11141-11143 111c5-111c6 111cd 111de-111df
-11238-11239 1123b-1123c 112a9 113d4-113d5 1144b-1144c 115c2-115c3 115c9-115d7 11641-11642 1173c-1173e 11944 11946 11a42-11a43 11a9b-11a9c
-11c41-11c42 11ef7-11ef8 11f43-11f44 16a6e-16a6f 16af5 16b37-16b38 16b44 16d6e-16d6f 16e98 1bc9f 1da88
-"""
-_FURTHER = "".join(chr(c) for low, _, high in (r.partition("-") for r in _STERM.split()) for c in range(int(low, 16), int(high or low, 16) + 1))
-_TERMINATORS = ".!?。！？｡．।॥؟۔‼⁇⁈⁉…։።፧၊။៕" + _FURTHER
-_CLOSERS = "\"'”’»)]}›」』）］】〉》〕｣“"
-_CANDIDATE = re.compile(rf"([{re.escape(_TERMINATORS)}]+)([{re.escape(_CLOSERS)}]*)")
+#: Letters of the classes of Sentence_Break. Closing marks are split: q closes, k opens.
+_PROPERTIES = [(regex.compile(rf"\p{{Sentence_Break={name}}}"), letter) for name, letter in (
+    ("CR", "r"), ("LF", "n"), ("Sep", "p"), ("Extend", "x"), ("Format", "x"), ("Sp", "s"), ("Lower", "l"), ("Upper", "u"), ("OLetter", "o"),
+    ("Numeric", "d"), ("ATerm", "a"), ("STerm", "t"), ("SContinue", "c"), ("Close", "q"),
+)]
+
+
+class _Classes(dict):
+    """Class of each code point, looked up as it comes; at most one entry a code point."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        letter = next((x for p, x in _PROPERTIES if p.match(c)), ".")
+        if letter == "q" and unicodedata.category(c) in ("Ps", "Pi") and c != "“":
+            letter = "k"
+        elif c == "…":
+            letter = "a"  # an ellipsis is read like the full stops that it stands for
+        elif c in "។៕":
+            letter = "t"
+        elif letter == "." and c.isspace():
+            letter = "s"
+        self[code] = letter
+        return letter
+
+
+_CLASSES = _Classes()
+_END = re.compile("[at][atx]*(q[qx]*)?")
+_LETTER = re.compile("[luo]")
 # French sets its marks apart: « Est-ce assez ? » and « fragile. »
-_SPACED_CLOSE = re.compile("[   ]»")
-_SPANS = re.compile(
-    r"“[^“”]{0,1000}”|„[^“”„]{0,1000}[“”]|«[^«»]{0,1000}»|「[^「」]{0,1000}」|『[^『』]{0,1000}』"
-    r"|\([^()]{0,1000}\)|（[^（）]{0,1000}）|\[[^\[\]]{0,1000}\]|‘[^‘’\n]{0,300}’"
-    r"|(?<![^\s(（\[—-])\"(?=\S)[^\"]{0,1000}\"|(?<=[ऀ-ॿ぀-鿿가-힯])\"[^\"]{1,300}\""
-)
+_SPACED_CLOSE = re.compile("[   ]»")
+_QUOTES = re.compile("[“”„«»「」『』()（）\\[\\]‘’\"]")
+_CLOSED_BY = {"”": "“„", "»": "«", "」": "「", "』": "『", ")": "(", "）": "（", "]": "[", "’": "‘"}
 _MARKER = re.compile(r"[^\S\n]*(?:[-–—•*·‣◦▪●○]|\(?\d{1,3}[.)]|\(?(?:[a-zA-Z]|[ivxIVX]{1,4})\)|（\d{1,3}）|\d{1,2}[、．])[^\S\n]+\S")
 _NUMBERED = re.compile(r"[^\S\n]*\(?\d{1,3}[.)]\s")
-_LINE = re.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]")
-_CASELESS = re.compile("[֐-ࣿऀ-෿฀-໿က-႟ᄀ-ᇿក-៿぀-ヿ㐀-鿿가-힯]")
-_THAI = re.compile("(?<=[ก-๛])[^\\S\n\r]+(?=[ก-๛])")
-_LAST_WORD = re.compile(
-    r"(?<!\w)(?:[^\W\d_]\.[   ]?){1,4}[^\W\d_]{1,2}$|(?<!\w)(?:[^\W\d_]\.){1,4}[^\W\d_]+$|[^\W_]+$|[ऀ-ॿ]+$"
-)
-_OPENERS = "\"'“‘«„‹([{「『（［【〈《〔¿¡—–-…   "
-_CLOSED = re.compile(rf"[{re.escape(_TERMINATORS)}:：;；][{re.escape(_CLOSERS)}\s]*$")
-
-
-def _goes_on(text: str, start: int, dot: int, end: int, after: int, stop: int) -> bool:
-    """Whether the sentence continues at ``after`` in spite of the terminator at ``dot`` (closers up to ``end``)."""
-    marks = text[dot:end]
-    first = marks[0]
-    nxt = after
-    while nxt < stop and (text[nxt] in _OPENERS or text[nxt].isspace()):
-        nxt += 1
-    head = text[nxt] if nxt < stop else ""
-    gap = after > end
-    closed = marks[-1] in _CLOSERS
-    if first in ".…" and marks[:1] != "" and not gap and not closed:
-        # No space: a number, an address, a file name; or a missing space between two sentences.
-        here = text[end] if end < stop else ""
-        if len(marks) > 1 or first == "…":
-            return not (here.isupper() or (here and here in _OPENERS and head.isupper()))
-        run = re.search(r"\S*$", text[max(start, dot - 40) : dot]).group()
-        plain = len(run) > 2 and run[-2:].isalpha() and run[-2:].islower() and not re.search(r"[/@\\]|\w\.\w", run)
-        return not (plain and here.isupper() and len(re.match(r"\w*", text[end : end + 30]).group()) >= 1)
-    if head and head in ",;:，、；：)]}）":
-        return True
-    if closed and not gap and head:
-        if first in "?!？！؟" and _CASELESS.search(text[max(start, dot - 12) : dot]):
-            return True  # a quoted question or call, and its sentence goes on
-        if marks[-1] in "」』" and "぀" <= head <= "ゟ":
+_LINE = re.compile("\r\n|[\n\r\x0b\x0c\x85  ]")
+_THAI = re.compile(r"(?<=[ก-๛])\s+(?=[ก-๛])")
+#: Read from right to left: the word or the letters with full stops that end at a place.
+_WORD_BEFORE = regex.compile(r"(?r)(?<!\w)(?:[^\W\d_]\.[   ]?){1,4}[^\W\d_]{1,2}|(?<!\w)(?:[^\W\d_]\.){1,4}[^\W\d_]+|[^\W_]+|[ऀ-ॿ]+")
+_NUMBER_BEFORE = regex.compile(r"(?r)([^\W\d_]+)[\s ]+\d{1,2}")
+_YEAR_BEFORE = regex.compile(r"(?r)[\dIVX][\s ]*\w+")
+_LATIN_WORDS = re.compile("[^\\W\\d_]+")
+_OPENERS = "\"'“‘«„‹([{「『（［【〈《〔¿¡—–-…   "
+_BREAKING = "。！？｡．।॥؟۔"
+
+
+def _lists(table: dict[str, str], languages: frozenset[str]) -> frozenset[str]:
+    return frozenset(w for lang in ("all", *languages) for w in table[lang].split())
+
+
+_LANGUAGES = {lang: frozenset(words.split()) for lang, words in _TELLING.items()}
+_PER_SET: dict[frozenset[str], tuple[frozenset[str], frozenset[str]]] = {}
+
+
+def abbreviations(languages: frozenset[str]) -> tuple[frozenset[str], frozenset[str]]:
+    """(always, maybe): the abbreviations of these languages and of all."""
+    if languages not in _PER_SET:
+        _PER_SET[languages] = _lists(_ALWAYS, languages), _lists(_MAYBE, languages)
+    return _PER_SET[languages]
+
+
+def languages_of(text: str, classes: str, declared: str | None) -> frozenset[str]:
+    """Languages whose abbreviations count in the text.
+
+    The script or the frequent words decide, for a text may mix languages and what is
+    declared may be wrong; a language with a tenth of the winner's words counts too.
+    The declared language stands in where nothing else tells, all languages where that
+    is missing too.
+    """
+    found = set()
+    if "а" <= max(text, default="") and re.search("[а-яА-Я]{3}", text):
+        found.add("ru")
+    if re.search("[ऀ-ॿ]", text):
+        found.add("hi")
+    votes = dict.fromkeys(_LANGUAGES, 0)
+    if "l" in classes:
+        for w in _LATIN_WORDS.findall(text.lower()):
+            for lang, words in _LANGUAGES.items():
+                if w in words:
+                    votes[lang] += 1
+    top = max(votes.values())
+    found |= {lang for lang, n in votes.items() if n and 10 * n >= top}
+    if not found:
+        code = (declared or "").lower().replace("_", "-").split("-")[0]
+        found = {code} if code in _ALWAYS else set(_ALWAYS) - {"all"}
+    return frozenset(found)
+
+
+class _Text:
+    """A text with its classes and what its languages are."""
+
+    def __init__(self, text: str, declared: str | None):
+        self.text, self.classes = text, text.translate(_CLASSES)
+        languages = languages_of(text, self.classes, declared)
+        self.always, self.maybe = abbreviations(languages)
+        self.german = "de" in languages
+
+    def word_before(self, low: int, dot: int) -> str:
+        """The folded word or lettered abbreviation that ends at ``dot``, without the white space in it."""
+        found = _WORD_BEFORE.match(self.text, low, dot)
+        word = re.sub(r"\s", "", found.group()).lower() if found else ""
+        return re.sub(r"^.*[぀-鿿가-힯](?=[a-z])", "", word)
+
+
+class _Block:
+    """What the rules need to know of one block while its terminators are visited in order."""
+
+    def __init__(self, whole: _Text, a: int, b: int):
+        self.whole, self.stop, self.start = whole, b, a
+        part = whole.classes[a:b]
+        self.caseless = part.count("o") > part.count("l") + part.count("u")
+        self.seen, self.run, self.odd = a, a, False  # how far it is read, where the last run without white space begins, whether that is an address or number
+
+    def read_to(self, dot: int) -> None:
+        text = self.whole.text
+        for m in re.finditer(r"\s|[/@\\]|(?<=\w)\.(?=\w)", text[self.seen : dot]):
+            if m.group().isspace():
+                self.run, self.odd = self.seen + m.end(), False
+            else:
+                self.odd = True
+        self.seen = dot
+
+    def goes_on(self, dot: int, end: int, after: int) -> bool:
+        """Whether the sentence continues at ``after`` in spite of the terminators at ``dot`` (closing marks up to ``end``)."""
+        text, classes, stop = self.whole.text, self.whole.classes, self.stop
+        self.read_to(dot)
+        marks = text[dot:end]
+        first = marks[0]
+        nxt = after
+        while nxt < stop and (text[nxt] in _OPENERS or text[nxt].isspace()):
+            nxt += 1
+        head, kind = (text[nxt], classes[nxt]) if nxt < stop else ("", "")
+        gap, closed = after > end, classes[end - 1] in "qx" and marks[-1] != first
+        closed = closed and classes[end - 1] == "q"
+        small = kind == "l"
+        if first in ".…" and not gap and not closed:
+            # SB6, SB7: a number, an address, a file name; or a missing space between two sentences.
+            here = text[end] if end < stop else ""
+            if len(marks) > 1 or first == "…":
+                return not (here.isupper() or (here and here in _OPENERS and head.isupper()))
+            plain = dot - self.run > 2 and text[dot - 2 : dot].isalpha() and text[dot - 2 : dot].islower() and not self.odd
+            return not (plain and here.isupper())
+        if kind == "c" and unicodedata.category(head) != "Pd" or head and head in "；)]}）":  # SB8a
             return True
-        if marks[-1] in "\"'" and "가" <= head <= "힯":
+        caseless = self.caseless or classes[dot - 1 : dot] == "o"
+        if closed and not gap and head:
+            if first in "?!？！؟" and caseless:
+                return True  # a quoted question or call, and its sentence goes on
+            if marks[-1] in "」』" and "぀" <= head <= "ゟ":
+                return True
+            if marks[-1] in "\"'" and "가" <= head <= "힯":
+                return True
+        if closed and first in "?!？！؟" and marks[-1] not in ")）]" and caseless:
             return True
-    if closed and first in "?!？！؟" and marks[-1] not in ")）]" and _CASELESS.search(text[max(start, dot - 12) : dot]):
-        return True
-    if first in "。！？｡．।॥؟۔":
-        return False
-    if first in _FURTHER:
-        return first in "\u203d\u2e2e\u2e3c\u2e53\u2e54" and head.islower()
-    if first in "!?‼⁇⁈⁉" or "!" in marks or "?" in marks:
-        return head.islower()
-    if first == "…" or marks.startswith(".."):
-        return head.islower() or (bool(head) and "㐀" <= head <= "鿿")
-    # A single full stop from here on.
-    before = text[max(start, dot - 40) : dot]
-    found = _LAST_WORD.search(before)
-    word = re.sub(r"\s", "", found.group()).lower() if found else ""
-    word = re.sub(r"^.*[぀-鿿가-힯](?=[a-z])", "", word)
-    tail = word.rsplit(".", 1)[-1]
-    inner_capital = bool(re.match(r"[a-z]+[A-Z]|[a-z]+-[a-z]", text[nxt : nxt + 40]))
-    if closed:
-        return head.islower() and not inner_capital
-    if len(word) == 1 and before[-1].isupper():
-        return True
-    if word in MAYBE or (tail in MAYBE and "." not in word):
-        if tail in ("г", "гг", "в", "вв") and not re.search(r"[\dIVX][\s ]*\w+$", before):
+        if first in _BREAKING:
+            return False
+        if classes[dot] == "t":  # SB11, but a small letter goes on where the script has them
+            return small and (first in "!?‼⁇⁈⁉" or first in "‽⸮⸼⹓⹔")
+        if "!" in marks or "?" in marks:
+            return small
+        if first == "…" or marks.startswith(".."):
+            return small or (bool(head) and "㐀" <= head <= "鿿")
+        return self.full_stop(dot, nxt, head, kind, gap, closed)
+
+    def full_stop(self, dot: int, nxt: int, head: str, kind: str, gap: bool, closed: bool) -> bool:
+        """SB8 and the abbreviations, for a single full stop."""
+        text, stop, small = self.whole.text, self.stop, kind == "l"
+        inner_capital = small and bool(_INNER_CAPITAL.match(text, nxt, stop))
+        if closed:
+            return small and not inner_capital
+        word = self.whole.word_before(self.start, dot)
+        tail = word.rsplit(".", 1)[-1]
+        before = text[dot - 1] if dot > self.start else " "
+        always, maybe = self.whole.always, self.whole.maybe
+        if len(word) == 1 and before.isupper():
             return True
-        return head.islower() or head.isdigit() and tail not in ("etc", "usw")
-    if tail in _NUMBER_ONLY and "." not in word and not before[-1].isupper():
-        return head.islower() or (head.isdigit() and tail not in ("s", "m"))
-    if word in ALWAYS or (len(tail) > 1 and tail in ALWAYS):
-        return True
-    if len(tail) == 1 and tail.isalpha() and re.match(r"[^\W\d_]\.", text[nxt : nxt + 2]):
-        return True  # an abbreviation of several letters with spaces between
-    if len(tail) == 1 and tail.isalpha():
-        # An initial, unless it is the last word of a longer run in a script without case.
-        return before[-1].isupper() or bool(_CASELESS.match(before[-1])) or head.islower()
-    if tail.isdigit():
-        if len(tail) <= 2 and head.isupper():
-            prev = re.search(r"([^\W\d_]+)[\s ]+\d{1,2}$", before)
-            if prev and prev.group(1).lower() in _ORDINAL_BEFORE:
+        if word in maybe or (tail in maybe and "." not in word):
+            if tail in ("г", "гг", "в", "вв") and not _YEAR_BEFORE.match(text, self.start, dot):
                 return True
-        return head.islower() and not inner_capital and not gap
-    if head.islower():
-        return not (inner_capital or (len(tail) >= 4 and tail.isascii() and re.match(r"[a-z]+ [a-z]", text[nxt : nxt + 40]) is None))
-    return False
+            return small or head.isdigit() and tail not in ("etc", "usw")
+        if tail in _NUMBER_ONLY and tail in always and "." not in word and not before.isupper():
+            return small or (head.isdigit() and tail not in ("s", "m"))
+        if word in always or (len(tail) > 1 and tail in always):
+            return True
+        if len(tail) == 1 and tail.isalpha():
+            if re.match(r"[^\W\d_]\.", text[nxt : nxt + 2]):
+                return True  # an abbreviation of several letters with spaces between
+            # An initial, unless it is the last word of a longer run in a script without case.
+            return before.isupper() or self.whole.classes[dot - 1] == "o" or small
+        if tail.isdigit():
+            if len(tail) <= 2 and head.isupper() and self.whole.german:
+                prev = _NUMBER_BEFORE.match(text, self.start, dot)
+                if prev and prev.group(1).lower() in _ORDINAL_BEFORE:
+                    return True
+            return small and not inner_capital and not gap
+        if small:
+            return not (inner_capital or (len(tail) >= 4 and tail.isascii() and not _TWO_SMALL_WORDS.match(text, nxt, stop)))
+        return False
+
+
+_INNER_CAPITAL = re.compile(r"[a-z]+[A-Z]|[a-z]+-[a-z]")
+_TWO_SMALL_WORDS = re.compile(r"[a-z]+ [a-z]")
+
+
+def _matched_marks(text: str, a: int, b: int) -> tuple[list[int], list[int], set[int]]:
+    """(begins, ends) of the outermost quotations and brackets between ``a`` and ``b``, and the ends of all.
+
+    One stack, one pass, any length. A mark that nothing closes is passed over.
+    """
+    stack: list[tuple[str, int]] = []
+    spans = []
+    for m in _QUOTES.finditer(text, a, b):
+        c, at = m.group(), m.start()
+        before = text[at - 1] if at > a else " "
+        behind = text[at + 1] if at + 1 < b else " "
+        wants = _CLOSED_BY.get(c)
+        if c == "’" and before.isalnum() and behind.isalnum():
+            continue  # an apostrophe
+        if c == "“" and any(o == "„" for o, _ in stack):
+            wants = "„"
+        if c == '"':
+            opened = any(o == c for o, _ in stack)
+            if opened:
+                wants = c
+            elif behind.isspace() or not (before.isspace() or before in "([（[—-" or "ऀ" <= before <= "ॿ" or "぀" <= before <= "鿿" or "가" <= before <= "힯"):
+                continue
+        if wants is None:
+            stack.append((c, at))
+            continue
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] in wants:
+                spans.append((stack[k][1], at + 1))
+                del stack[k:]
+                break
+    outer: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if not outer or s >= outer[-1][1]:
+            outer.append((s, e))
+    return [s for s, _ in outer], [e for _, e in outer], {e for _, e in spans}
+
 
+def _closed(line: str, classes: str) -> bool:
+    """Whether the line ends in a terminator, a colon or a semicolon, closing marks aside."""
+    n = len(line)
+    while n and (classes[n - 1] in "qxs"):
+        n -= 1
+    return bool(n) and (classes[n - 1] in "at" or line[n - 1] in ":：;；")
 
-def _wrapped(line: str, nxt: str) -> bool:
-    """Whether ``line`` was merely broken before ``nxt`` to keep to a width."""
+
+def _wrapped(line: str, nxt: str, width: float) -> bool:
+    """Whether ``line`` was merely broken before ``nxt``, whose first word wouldn't have fitted into the width of its paragraph."""
     head = re.match(r"\S+", nxt)
-    return 50 <= len(line) <= 90 and len(line) + 1 + (len(head.group()) if head else 0) >= 68
+    return NARROW <= min(width, len(line)) and max(width, len(line) / 1.3) <= WIDE and len(line) + 1 + (len(head.group()) if head else 0) >= width
+
+
+#: Narrower lines are headings and lists, wider ones aren't broken to a width; the width taken for paragraphs of up to three lines.
+NARROW, WIDE, USUAL = 50, 100, 68.0
 
 
-def _blocks(text: str) -> Iterator[tuple[int, int]]:
+def _blocks(whole: _Text) -> Iterator[tuple[int, int]]:
     """Begin and end of the runs of lines that are one piece of running text."""
+    text = whole.text
     lines, low = [], 0
     for m in _LINE.finditer(text):
         lines.append((low, m.start()))
         low = m.end()
     lines.append((low, len(text)))
+    if len(lines) == 1:
+        if text.strip():
+            yield 0, len(text)
+        return
+    widths, k = [0.0] * len(lines), 0
+    while k < len(lines):  # the usual width of each run of lines without a blank one, its last line aside
+        j = k
+        while j < len(lines) and text[lines[j][0] : lines[j][1]].strip():
+            j += 1
+        widths[k:j] = [median(b - a for a, b in lines[k : j - 1]) if j - k > 3 else USUAL] * (j - k)
+        k = j + 1
     begin = end = -1
-    item = False
-    for a, b in lines:
+    item, last = False, (0, 0)
+    for (a, b), width in zip(lines, widths):
         line = text[a:b]
         bare = line.strip()
         if not bare:
@@ -169,83 +346,69 @@ def _blocks(text: str) -> Iterator[tuple[int, int]]:
             continue
         marked = bool(_MARKER.match(line))
         if begin >= 0:
-            above = text[begin:end].rstrip()
-            last = text[text.rfind("\n", begin, end) + 1 : end].strip()
-            closed = bool(_CLOSED.search(above))
-            tail = _LAST_WORD.search(above[-41:-1]) if above.endswith(".") else None
-            short = re.sub(r"\s", "", tail.group()).lower() if tail else ""
-            end_word = re.search(r"[^\W\d_]+$", above[-20:])
-            if short and (short in ALWAYS or (len(short) == 1 and above[-2].isupper())) and len(last) >= 30:
+            above = text[last[0] : last[1]].rstrip()
+            low = last[0] + len(above) - len(above.lstrip())
+            size = len(above.strip())
+            high = last[0] + len(above)
+            closed = _closed(above, whole.classes[last[0] : high])
+            short = whole.word_before(low, high - 1) if above.endswith(".") else ""
+            if short and (short in whole.always or (len(short) == 1 and above[-2].isupper())) and size >= 30:
                 joined = True  # an abbreviation at the end of the line
             elif above[-1] in ",;" and not item:
                 joined = True
             elif marked:
-                joined = bool(end_word and end_word.group().lower() in _ORDINAL_BEFORE and _NUMBERED.match(line) and len(last) >= 30)
+                final = _FINAL_WORD.search(above)
+                joined = bool(whole.german and final and final.group().lower() in _ORDINAL_BEFORE and _NUMBERED.match(line) and size >= 30)
             elif bare[0].islower():
                 joined = True
             elif closed:
                 joined = not item
             else:
-                joined = _wrapped(last, bare)
+                joined = not item and _wrapped(above.strip(), bare, width)
             if not joined:
                 yield begin, end
                 begin = -1
         if begin < 0:
             begin, item = a, marked
-        end = b
+        end, last = b, (a, b)
     if begin >= 0:
         yield begin, end
 
 
-def _in_span(spans: list[tuple[int, int]], starts: list[int], at: int) -> bool:
-    k = bisect_right(starts, at - 1) - 1
-    while k >= 0 and starts[k] > at - 1100:
-        if spans[k][0] < at < spans[k][1]:
-            return True
-        k -= 1
-        if k >= 0 and spans[k][1] <= at and starts[k] < at - 1100:
-            break
-    return False
+_FINAL_WORD = re.compile(r"[^\W\d_]+$")
 
 
-def _outer_spans(text: str, a: int, b: int) -> list[tuple[int, int]]:
-    spans = [m.span() for m in _SPANS.finditer(text, a, b)]
-    # Brackets that hold quotations with brackets and the like: one more look inside.
-    for s, e in list(spans):
-        if e - s > 40:
-            spans += [m.span() for m in _SPANS.finditer(text, s + 1, e - 1)]
-    return sorted(spans)
+def _split_block(whole: _Text, a: int, b: int) -> Iterator[tuple[int, int]]:
+    """Sentences between ``a`` and ``b``, trimmed of white space."""
+    text, classes = whole.text, whole.classes
+    begins, ends, every_end = _matched_marks(text, a, b)
 
+    def inside(at: int) -> bool:
+        k = bisect_right(begins, at - 1) - 1
+        return k >= 0 and at < ends[k]
 
-def split_block(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
-    """Sentences between ``a`` and ``b``, trimmed of white space."""
-    spans = _outer_spans(text, a, b)
-    starts = [s for s, _ in spans]
     marker = _MARKER.match(text, a, b)
     begin, first = a, (marker.end() - 1 if marker else a)
     cuts: list[int] = []
-    for m in _CANDIDATE.finditer(text, first, b):
-        dot, end = m.start(1), m.end()
-        if dot < first:
-            continue
-        if m.group(2) and m.group(2)[-1] in "\"“'" and not any(e == end for _, e in spans):
-            # A mark that opens rather than closes: not part of this sentence.
-            k = len(m.group(2))
-            while k and m.group(2)[k - 1] in "\"“'" and not any(e == m.end(1) + k for _, e in spans):
-                k -= 1
-            end = m.end(1) + k
-        if (s := _SPACED_CLOSE.match(text, end, b)) and any(e == s.end() for _, e in spans):
+    state = _Block(whole, a, b)
+    for m in _END.finditer(classes, first, b):
+        dot, end = m.start(), m.end()
+        if m.group(1):
+            # Marks that open rather than close aren't part of this sentence.
+            while end > m.start(1) and text[end - 1] in "\"“'" and end not in every_end:
+                end -= 1
+        if (s := _SPACED_CLOSE.match(text, end, b)) and s.end() in every_end:
             end = s.end()
-        if end >= b or _in_span(spans, starts, end):
+        if end >= b or inside(end):
             continue
         after = end
         while after < b and text[after].isspace():
             after += 1
-        if after >= b or _goes_on(text, begin, dot, end, after, b):
+        if after >= b or state.goes_on(dot, end, after):
             continue
         cuts.append(end)
     for m in _THAI.finditer(text, a, b):
-        if not _in_span(spans, starts, m.start()):
+        if not inside(m.start()):
             cuts.append(m.start())
     for cut in [*sorted(cuts), b]:
         lo, hi = begin, cut
@@ -258,12 +421,16 @@ def split_block(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
         begin = cut
 
 
-def split_text(text: str | None) -> list[tuple[int, int]]:
-    """(begin, end) of each sentence in code points; none for null, empty and blank texts."""
+def split_text(text: str | None, lang: str | None = None) -> list[tuple[int, int]]:
+    """(begin, end) of each sentence in code points; none for null, empty and blank texts.
+
+    ``lang`` only counts where neither script nor frequent words tell the language.
+    """
     out: list[tuple[int, int]] = []
     if text:
-        for a, b in _blocks(text):
-            out += split_block(text, a, b)
+        whole = _Text(text, lang)
+        for a, b in _blocks(whole):
+            out += _split_block(whole, a, b)
     return out
 
 
@@ -271,7 +438,8 @@ def sentences(documents: DataFrame) -> DataFrame:
     """(doc_id, begin_at, end_at) of each sentence of each text, in code points, end exclusive.
 
     Sentences don't overlap and cover every character but white space. Narrow: one
-    Arrow-batched pass over whole texts, no shuffle. Null, empty and blank texts have none.
+    Arrow-batched pass over whole texts, no shuffle. Null, empty and blank texts have
+    none. ``lang`` may be missing, null or wrong.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -281,8 +449,8 @@ def sentences(documents: DataFrame) -> DataFrame:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
                 rows, begins, ends = [], [], []
-                for i, text in enumerate(part.column(1).to_pylist()):
-                    for b, e in split_text(text):
+                for i, (text, lang) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist())):
+                    for b, e in split_text(text, lang):
                         rows.append(i)
                         begins.append(b)
                         ends.append(e)
@@ -298,4 +466,5 @@ def sentences(documents: DataFrame) -> DataFrame:
             T.StructField("end_at", T.IntegerType()),
         ]
     )
-    return documents.select("doc_id", "text").mapInArrow(run, schema)
+    lang = F.col("lang") if "lang" in documents.columns else F.lit(None).cast("string")
+    return documents.select("doc_id", "text", lang.alias("lang")).mapInArrow(run, schema)

@@ -151,3 +151,33 @@ def test_confidence_is_calibrated_on_held_out_pairs(spark):
     rows = [(i, i + 1, rnd.gauss(0.8 if i % 2 else 0.3, 0.1), True, i % 2) for i in range(400)]
     got = held_out(spark.createDataFrame(rows, "rec_a long, rec_b long, cosine double, same boolean, label int"))
     assert got["pairs"] > 100 and got["brier"] < 0.05 < got["brier_of_the_mean"]
+
+
+def test_marks_and_letters_by_property():
+    for mark, letters in (("\u1803", "ᠠᠡ"), ("\u1809", "ᠠᠡ"), ("\u07f9", "ߊߋ"), ("\u1c7e", "ᱚᱛ"), ("\uabeb", "ꯀꯁ"), ("\ua8ce", "ꢒꢓ"), ("\u1b5a", "ᬓᬔ")):
+        parts = [letters * 3 + mark, letters[::-1] * 2 + mark]
+        assert [" ".join(parts)[a:b] for a, b in split_text(" ".join(parts))] == parts
+
+
+def test_long_quotation_is_one_sentence():
+    for opening, closing in ("“”", "()", "«»", '""'):
+        text = f"He wrote: {opening}{'It is so. ' * 1500}It ends.{closing} We agree."
+        assert len(split_text(text)) == 2
+    assert len(split_text("A ( b. C d. " * 1000)) == 2000  # nothing closes
+
+
+def test_abbreviations_of_the_language_of_the_text():
+    assert len(split_text("Wir sehen es bzw. Das ist die Regel und nicht falsch.")) == 1
+    assert len(split_text("The name of it is bzw. That is the rule and not an error.")) == 2
+    assert len(split_text("Xyz bzw. Abc.", "de_DE")) == 1 and len(split_text("Xyz bzw. Abc.", "en")) == 2
+
+
+def test_wrapped_paragraph_of_any_usual_width():
+    for width in (60, 72, 96):
+        words, lines = ("Some words of a sentence that goes On and on " * 20).split(), [""]
+        for w in words:
+            if len(lines[-1]) + 1 + len(w) > width:
+                lines.append(w)
+            else:
+                lines[-1] = (lines[-1] + " " + w).strip()
+        assert len(split_text("\n".join(lines) + ".")) == 1
