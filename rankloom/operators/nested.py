@@ -20,6 +20,20 @@ ARXIV_ONLY = (
 )
 
 
+def list_depth(text: Column) -> Column:
+    """How deep the brackets outside the strings of a JSON text are nested."""
+    plain = F.replace(F.replace(text, F.lit("\\\\"), F.lit("")), F.lit('\\"'), F.lit(""))
+    outside = F.array_join(F.filter(F.split(plain, '"'), lambda _, i: i % 2 == 0), " ")
+    brackets = F.regexp_extract_all(outside, F.lit(r"[\[\]]"), F.lit(0))
+
+    def step(seen: Column, bracket: Column) -> Column:
+        now = seen["now"] + F.when(bracket == "[", 1).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(seen["most"], now).alias("most"))
+
+    deep = F.aggregate(brackets, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda x: x["most"])
+    return F.coalesce(deep, F.lit(0))
+
+
 def json_items(text: Column) -> Column:
     """All items of a JSON text in reading order, as ARRAY<VARIANT>.
 
@@ -38,9 +52,8 @@ def json_items(text: Column) -> Column:
     )
     start = F.when(quoted & (F.size(inner) == 1), inner).otherwise(outer)
     start = F.when(F.size(outer) == 1, start)
-    # As many rounds as the text has opening brackets: never fewer than its levels.
-    brackets = F.length(text) - F.length(F.replace(text, F.lit("["), F.lit("")))
-    rounds = F.sequence(F.lit(0), F.least(brackets, F.lit(100)))
+    # As many rounds as its lists are deep.
+    rounds = F.sequence(F.lit(0), F.greatest(list_depth(text), F.when(quoted, list_depth(inner_text)).otherwise(F.lit(0))))
 
     def is_list(v: Column) -> Column:
         return F.coalesce(F.schema_of_variant(v).startswith("ARRAY"), F.lit(False))
