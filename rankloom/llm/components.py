@@ -100,10 +100,12 @@ def _hashed(key: Column) -> tuple[Column, Column]:
 
 
 def record_links(matches: DataFrame, records: DataFrame) -> DataFrame:
-    """(a, b): the records that each positive match links; void references fall away.
+    """(a, b): edges that join the records which positive matches link; void references fall away.
 
     References that differ in notation only, and repeated links, are made one before the
-    joins. Keys travel as 128-bit hashes.
+    joins. Keys travel as 128-bit hashes. Records that share an identifier hang on the
+    smallest of them, and a match links two such hubs: an identifier of a third of all
+    records gives an edge a record, never all pairs.
     """
     k1, k2 = _hashed(F.col("k"))
     ids = (
@@ -123,9 +125,14 @@ def record_links(matches: DataFrame, records: DataFrame) -> DataFrame:
         .select(l1.alias("l1"), l2.alias("l2"), r1.alias("r1"), r2.alias("r2"))
         .distinct()
     )
-    left = ids.select(F.col("rec_id").alias("a"), F.col("k1").alias("l1"), F.col("k2").alias("l2"))
-    right = ids.select(F.col("rec_id").alias("b"), F.col("k1").alias("r1"), F.col("k2").alias("r2"))
-    return links.join(left, ["l1", "l2"]).join(right, ["r1", "r2"]).select("a", "b")
+    hubs = ids.groupBy("k1", "k2").agg(F.min("rec_id").alias("hub"), (F.min("rec_id") < F.max("rec_id")).alias("many"))
+    left, right = (hubs.select(F.col("k1").alias(f"{e}1"), F.col("k2").alias(f"{e}2"), F.col("hub").alias(h), F.col("many").alias(f"many_{h}")) for e, h in (("l", "a"), ("r", "b")))
+    met = stage(links.join(left, ["l1", "l2"]).join(right, ["r1", "r2"]), "met", many=F.count_if(F.col("many_a") | F.col("many_b")))
+    edges = met.select("a", "b")
+    if met.measured["many"]:
+        shared = met.where("many_a").select("l1", "l2", "a").toDF("k1", "k2", "b").unionByName(met.where("many_b").select("r1", "r2", "b").toDF("k1", "k2", "b"))
+        edges = edges.unionByName(ids.join(shared.distinct(), ["k1", "k2"]).select(F.col("rec_id").alias("a"), "b"))
+    return edges
 
 
 def record_groups(matches: DataFrame, records: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ def fingerprint(fields: Sequence[Column]) -> list[Column]:
     return [
         F.xxhash64(text).alias("h1"),
         F.xxhash64(F.lit(1), text).alias("h2"),
-        F.hash(text).cast("long").alias("check"),
+        F.xxhash64(F.lit(2), text).alias("check"),
         F.length(text).alias("width"),
     ]
 

@@ -16,13 +16,13 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
-from itertools import permutations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions.cells import canonical, has_content
-from rankloom.scratch import stage
+from rankloom.scratch import drop, stage
 
 from .components import connected_components
 
@@ -37,10 +37,9 @@ _ORG = {
 _ORG_WORDS = frozenset(_ORG.values()) | frozenset("college group project initiative team school hospital foundation council".split())
 _LETTERS = str.maketrans({"ł": "l", "ø": "o", "đ": "d", "ß": "ss", "æ": "ae", "œ": "oe", "ı": "i", "ð": "d", "þ": "th"})
 
-#: A token or letter group is usual if at least this share of all names has it; at most 1/USUAL tokens are.
+#: A given name or letter group is usual if this share of all names has it, and two more. At most 1/USUAL given
+#: names are, and as many letter groups times the letters of a name, whatever the size of the corpus.
 USUAL = 0.0005
-#: Letter groups kept for that test; rarer ones count as unusual.
-GROUPS_KEPT = 20_000
 
 
 def _fold(text: str) -> str:
@@ -49,7 +48,7 @@ def _fold(text: str) -> str:
 
 
 def parse_name(name: str) -> tuple[str, list[str], str] | None:
-    """(first initial or '', words with the given name first, 'person' or 'org'); None if nothing is left."""
+    """(first initial or '', words with the given name first and the family name last, 'person' or 'org'); None if nothing is left."""
     plain = re.sub(r"[\d*†‡§¶;]+", " ", html.unescape(name)).strip(" .,")
     parts = plain.split(",")
     if len(parts) == 2 and parts[1].strip():
@@ -75,7 +74,7 @@ def parse_name(name: str) -> tuple[str, list[str], str] | None:
         return "", sorted(_ORG.get(w, w) for w in words), "org"
     if len(words) == 1:
         return initials[0] if initials else "", words, "person"
-    return "", [words[0], words[-1]], "person"
+    return "", words, "person"
 
 
 def _parsed(names: DataFrame) -> DataFrame:
@@ -134,25 +133,69 @@ def align(a: list[str], b: list[str], formal: dict[str, set[str]]) -> tuple[str,
 
     if len(a) != len(b):
         return None
-    best = None
-    for order in permutations(range(len(b))) if len(b) <= 5 else [tuple(range(len(b)))]:
-        found = [(cost(x, b[j]), x, b[j]) for x, j in zip(a, order)]
-        if any(c is None for c, _, _ in found):
-            continue
-        total = sum(c[0] for c, _, _ in found)
-        if best is None or total < best[0]:
-            differ = [(c[1], x, y) for c, x, y in found if c[0]]
-            best = (total, differ)
-    if best is None or len(best[1]) > 2:
-        return None
-    if not best[1]:
+    if sorted(a) == sorted(b):
         return "same", "", ""
-    if len(best[1]) == 2:
-        kinds = {k for k, _, _ in best[1]}
-        if "initial" not in kinds or "typo" not in kinds:
-            return None
-        return ("initial_typo", *best[1][0][1:])
-    return best[1][0]
+    found = [[cost(x, y) for y in b] for x in a]
+    if any(all(c is None for c in row) for row in found):
+        return None
+    order = assignment([[_NEVER if c is None else c[0] for c in row] for row in found])
+    chosen = [(found[i][j], a[i], b[j]) for i, j in enumerate(order)]
+    if any(c is None for c, _, _ in chosen):
+        return None
+    differ = [(c[1], x, y) for c, x, y in chosen if c[0]]
+    if len(differ) == 2 and {"initial", "typo"} == {k for k, _, _ in differ}:
+        return ("initial_typo", *differ[0][1:])
+    return differ[0] if len(differ) == 1 else None
+
+
+_NEVER = 1_000
+
+
+def assignment(costs: list[list[int]]) -> list[int]:
+    """Column of each row in an assignment of least total cost (shortest augmenting paths, cubic time)."""
+    n = len(costs)
+    u, v, row_of, way = [0] * (n + 1), [0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+    for i in range(1, n + 1):
+        row_of[0], at = i, 0
+        least, used = [1 << 60] * (n + 1), [False] * (n + 1)
+        while True:
+            used[at] = True
+            row, step, nxt = row_of[at], 1 << 60, 0
+            for j in range(1, n + 1):
+                if not used[j]:
+                    slack = costs[row - 1][j - 1] - u[row] - v[j]
+                    if slack < least[j]:
+                        least[j], way[j] = slack, at
+                    if least[j] < step:
+                        step, nxt = least[j], j
+            for j in range(n + 1):
+                if used[j]:
+                    u[row_of[j]] += step
+                    v[j] -= step
+                else:
+                    least[j] -= step
+            at = nxt
+            if not row_of[at]:
+                break
+        while at:
+            row_of[at] = row_of[way[at]]
+            at = way[at]
+    out = [0] * n
+    for j in range(1, n + 1):
+        out[row_of[j] - 1] = j - 1
+    return out
+
+
+def align_people(a: list[str], b: list[str], ia: str, ib: str, formal: dict[str, set[str]]) -> tuple[str, str, str] | None:
+    """As ``align`` for given and family names; names between them may be missing on one side but must not differ."""
+    ma, mb = (a[1:-1] if len(a) > 2 else []), (b[1:-1] if len(b) > 2 else [])
+    ends_a, ends_b = ([a[0], a[-1]] if len(a) > 1 else a), ([b[0], b[-1]] if len(b) > 1 else b)
+    if ma and mb and (len(ma) != len(mb) or align(ma, mb, formal) is None):
+        return None
+    found = align([ia, *ends_a] if ia else ends_a, [ib, *ends_b] if ib else ends_b, formal)
+    if found and found[0] == "same" and ma != mb:
+        return "middle", " ".join(ma), " ".join(mb)
+    return found
 
 
 def _deletions(word: Column) -> Column:
@@ -165,8 +208,13 @@ def _deletions(word: Column) -> Column:
 
 
 def _index(nodes: DataFrame) -> DataFrame:
-    """(key, node, side): the neighbourhood index. side 0 meets side 0, side 1 (initials) meets side 2."""
-    words, given, family = F.col("words"), F.col("words")[0], F.element_at("words", -1)
+    """(key, node, side): the neighbourhood index. side 0 meets side 0, side 1 (initials) meets side 2, side 3 (abbreviations) side 4.
+
+    Every key holds what two nodes that meet must share, so a bucket has no more pairs
+    than the alignment has to look at, however many bear a family name.
+    """
+    given, family = F.col("words")[0], F.element_at("words", -1)
+    words = F.when((F.col("kind") == "person") & (F.size("words") > 2), F.array(given, family)).otherwise(F.col("words"))
 
     def entries(keys: Column, side: int) -> Column:
         return F.transform(keys, lambda k: F.struct(k.alias("key"), F.lit(side).alias("side")))
@@ -181,11 +229,14 @@ def _index(nodes: DataFrame) -> DataFrame:
         )
     )
     formals = F.transform(F.col("formals"), lambda f: F.xxhash64(f, family))
-    stem = F.array(F.xxhash64(F.lit("~"), F.substring(given, 1, 3), family))
+    whole = F.when(F.length(given) >= 3, F.array(F.xxhash64(F.lit("~"), given, family))).otherwise(F.array().cast("array<bigint>"))
+    openings = F.when(
+        F.length(given) >= 5, F.transform(F.sequence(F.lit(3), F.length(given) - 2), lambda n: F.xxhash64(F.lit("~"), F.substring(given, F.lit(1), n), family))
+    ).otherwise(F.array().cast("array<bigint>"))
     lead = F.array_distinct(F.transform(F.concat(F.array(given), F.col("formals")), lambda g: F.substring(g, 1, 1)))
     full = F.concat(
         entries(edits, 0),
-        F.when(F.col("kind") == "person", F.concat(entries(formals, 0), entries(stem, 0))).otherwise(F.array().cast("array<struct<key:bigint,side:int>>")),
+        F.when(F.col("kind") == "person", F.concat(entries(formals, 0), entries(whole, 3), entries(openings, 4))).otherwise(F.array().cast("array<struct<key:bigint,side:int>>")),
         F.when(
             F.col("kind") == "person",
             entries(F.flatten(F.transform(lead, lambda g: F.transform(_deletions(family), lambda v: F.xxhash64(F.lit("#"), g, v)))), 2),
@@ -200,10 +251,13 @@ def _aligned(pairs: DataFrame, formal: dict[str, set[str]]) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(6)]
+            cols = [batch.column(i).to_pylist() for i in range(8)]
             keep, kinds, xs, ys = [], [], [], []
-            for r, (wa, wb, ia, ib) in enumerate(zip(*cols[2:])):
-                found = align([ia, *wa] if ia else wa, [ib, *wb] if ib else wb, formal)
+            for r, (wa, wb, ia, ib, ka, kb) in enumerate(zip(*cols[2:])):
+                if ka == kb == "person":
+                    found = align_people(wa, wb, ia, ib, formal)
+                else:
+                    found = align([ia, *wa] if ia else wa, [ib, *wb] if ib else wb, formal)
                 if found:
                     keep.append(r)
                     kinds.append(found[0])
@@ -215,7 +269,7 @@ def _aligned(pairs: DataFrame, formal: dict[str, set[str]]) -> DataFrame:
                 ["a", "b", "how", "x", "y"],
             )
 
-    return pairs.select("a", "b", "wa", "wb", "ia", "ib").mapInArrow(run, "a long, b long, how string, x string, y string")
+    return pairs.select("a", "b", "wa", "wb", "ia", "ib", "ka", "kb").mapInArrow(run, "a long, b long, how string, x string, y string")
 
 
 def occurrences(records: DataFrame) -> DataFrame:
@@ -230,11 +284,10 @@ def name_groups(records: DataFrame, given_names: DataFrame) -> DataFrame:
     """(name, entity): every stored spelling with the entity that it names.
 
     Null and blank names give no row, empty tables none. ``given_names`` is a small
-    reference list of short forms (at most 10,000 rows are used, in order of the names).
+    reference list of short forms, read as a whole.
     """
-    short = given_names.where("formal_name is not null and short_form is not null").orderBy("short_form", "formal_name")
     formal: dict[str, set[str]] = {}
-    for r in short.limit(10_000).collect():
+    for r in given_names.where("formal_name is not null and short_form is not null").toLocalIterator():
         formal.setdefault(_fold(r["short_form"]), set()).add(_fold(r["formal_name"]))
     spark = records.sparkSession
     table = [(k, sorted(v)) for k, v in formal.items()]
@@ -243,52 +296,60 @@ def name_groups(records: DataFrame, given_names: DataFrame) -> DataFrame:
     seen = stage(occurrences(records).distinct(), "names")
     parsed = _parsed(seen.select("name").distinct())
     parsed = stage(parsed.select("*", F.xxhash64("initial", F.array_join(F.array_sort("words"), " ")).alias("node")), "parsed")
-    people = parsed.where((F.col("kind") == "person") & (F.col("initial") == "") & (F.size("words") == 2))
-    total = parsed.measured["rows"]
-    floor = max(3, total * USUAL)
-    usual = {r["g"] for r in people.groupBy(F.col("words")[0].alias("g")).agg(F.count("*").alias("n")).where(F.col("n") >= floor).collect()}
-    usual |= {f for fs in formal.values() for f in fs}
+    people = parsed.where((F.col("kind") == "person") & (F.col("initial") == "") & (F.size("words") >= 2))
+    floor = 2 + parsed.measured["rows"] * USUAL
+    usual = people.groupBy(F.col("words")[0].alias("g")).agg(F.count("*").alias("n")).where(F.col("n") >= floor).select("g")
+    usual = stage(usual.unionByName(spark.createDataFrame([(f,) for fs in formal.values() for f in fs], "g string")).distinct(), "usual")
 
-    def known(w: Column) -> Column:
-        return w.isin(sorted(usual)) if usual else F.lit(False)
+    def known(df: DataFrame, column: str, flag: str) -> DataFrame:
+        """``df`` with a flag that says whether the column holds a usual given name."""
+        return df.join(F.broadcast(usual.select(F.col("g").alias(column), F.lit(True).alias(flag))), column, "left").fillna(False, [flag])
 
-    # A family name written first: the given name is the usual one.
-    swap = (F.col("kind") == "person") & (F.size("words") == 2) & known(F.element_at("words", -1)) & ~known(F.col("words")[0])
     nodes = parsed.groupBy("node").agg(F.min_by(F.struct("initial", "words", "kind"), "name").alias("p")).select("node", "p.*")
-    nodes = nodes.withColumn("words", F.when(swap, F.reverse("words")).otherwise(F.col("words"))).join(
-        F.broadcast(nick), F.col("words")[0] == F.col("g"), "left"
-    )
+    nodes = nodes.withColumns({"head": F.col("words")[0], "tail": F.element_at("words", -1)})
+    nodes = known(known(nodes, "head", "head_known"), "tail", "tail_known")
+    # A family name written first: the given name is the usual one.
+    swap = (F.col("kind") == "person") & (F.size("words") >= 2) & F.col("tail_known") & ~F.col("head_known")
+    turned = F.concat(F.slice("words", 2, F.size("words")), F.slice("words", 1, 1))
+    nodes = nodes.withColumn("words", F.when(swap, turned).otherwise(F.col("words"))).join(F.broadcast(nick), F.col("words")[0] == F.col("g"), "left")
     nodes = stage(nodes.select("node", "initial", "words", "kind", F.coalesce("formals", F.array().cast("array<string>")).alias("formals")), "nodes")
     works = stage(seen.join(parsed.select("name", "node"), "name").select("node", "work").distinct(), "works")
     support = works.groupBy("node").agg(F.count("*").alias("n"))
 
     index = _index(nodes)
     left, right = index.select("key", F.col("node").alias("a"), "side"), index.select("key", F.col("node").alias("b"), F.col("side").alias("side_b"))
-    meet = ((F.col("side") == 0) & (F.col("side_b") == 0) & (F.col("a") < F.col("b"))) | ((F.col("side") == 1) & (F.col("side_b") == 2))
-    pairs = left.join(right, "key").where(meet).select("a", "b").distinct()
-    attributes = nodes.select("node", "words", "initial")
-    pairs = pairs.join(attributes.toDF("a", "wa", "ia"), "a").join(attributes.toDF("b", "wb", "ib"), "b")
-    pairs = stage(_aligned(pairs, formal), "aligned")
+    meet = ((F.col("side") == 0) & (F.col("side_b") == 0) & (F.col("a") < F.col("b"))) | ((F.col("side") == 1) & (F.col("side_b") == 2)) | ((F.col("side") == 3) & (F.col("side_b") == 4))
+    # An initial comes first, of all others the smaller node.
+    pairs = left.join(right, "key").where(meet)
+    swapped = (F.col("side") == 3) & (F.col("a") > F.col("b"))
+    pairs = pairs.select(F.when(swapped, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swapped, F.col("a")).otherwise(F.col("b")).alias("b")).where("a <> b").distinct()
+    attributes = nodes.select("node", "words", "initial", "kind")
+    pairs = pairs.join(attributes.toDF("a", "wa", "ia", "ka"), "a").join(attributes.toDF("b", "wb", "ib", "kb"), "b")
+    pairs = aligned = stage(_aligned(pairs, formal), "aligned")
 
     shared = (
         pairs.select("a", "b").join(works.toDF("a", "work"), "a").join(works.toDF("b", "work"), ["b", "work"]).groupBy("a", "b").agg(F.count("*").alias("shared"))
     )
-    groups = _letter_groups(people)
+    groups = _letter_groups(people, floor)
     pairs = pairs.join(shared, ["a", "b"], "left").fillna(0, ["shared"])
     pairs = pairs.join(support.toDF("a", "na"), "a").join(support.toDF("b", "nb"), "b")
-    both_known = known(F.col("x")) & known(F.col("y"))
-    plausible = _usual_letters(F.col("x"), groups, floor) & _usual_letters(F.col("y"), groups, floor)
-    one_is_given = known(F.col("x")) | known(F.col("y"))
+    pairs = known(known(pairs, "x", "x_known"), "y", "y_known")
+    both_known = F.col("x_known") & F.col("y_known")
+    likely = _usual_letters(groups)
+    plausible = F.when(F.col("how") == "typo", likely("x") & likely("y")).otherwise(F.lit(False))
+    one_is_given = F.col("x_known") | F.col("y_known")
     firm = F.when(F.col("how") == "same", True).when(
         F.col("how") == "typo", ~both_known & (one_is_given | (F.col("shared") > 0) | ~plausible)
     )
-    soft = F.col("how").isin("initial", "initial_typo", "nick", "abbr") & ~((F.col("how") == "abbr") & both_known)
+    soft = F.col("how").isin("initial", "initial_typo", "nick", "abbr", "middle") & ~((F.col("how") == "abbr") & both_known)
     pairs = stage(pairs.select("*", F.coalesce(firm, F.lit(False)).alias("firm"), soft.alias("soft")), "judged")
+    drop(aligned, nodes)
     # Short forms first: a name and its short form are one candidate for an initial.
     links = pairs.where("firm").select("a", "b")
     links = stage(links.unionByName(_resolved(pairs.where("soft and not startswith(how, 'initial')"), _heads(links, support))), "spellings")
     links = links.unionByName(_resolved(pairs.where("soft and startswith(how, 'initial')"), _heads(links, support)))
     entity = connected_components(links)
+    drop(seen, works, pairs, usual)
     return parsed.join(entity, "node", "left").select("name", F.coalesce("group_id", "node").alias("entity"))
 
 
@@ -331,21 +392,26 @@ def _resolved(pairs: DataFrame, head: DataFrame) -> DataFrame:
     return top.where(sure).select(F.col("short").alias("a"), F.col("best.rep").alias("b"))
 
 
-def _letter_groups(people: DataFrame) -> DataFrame:
-    """The commonest groups of three letters in family names: at most ``GROUPS_KEPT`` rows."""
+def _letter_groups(people: DataFrame, floor: float) -> set[str]:
+    """The usual groups of three letters in family names (see ``USUAL`` for their bound)."""
     family = people.select(F.concat(F.lit("^"), F.element_at("words", -1), F.lit("$")).alias("w")).distinct()
     at = F.sequence(F.lit(1), F.length("w") - 2)
     grams = family.select(F.explode(F.array_distinct(F.transform(at, lambda i: F.substring(F.col("w"), i, F.lit(3))))).alias("g"))
-    counted = grams.groupBy("g").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "g").limit(GROUPS_KEPT)
-    return counted
+    return {r["g"] for r in grams.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") >= floor).collect()}
+
+
+def _usual_letters(groups: set[str]):
+    """A function of a column: true where every group of three letters of the word is usual."""
+
+    def usual(word: str | None) -> bool:
+        w = f"^{word}$"
+        return all(w[i : i + 3] in groups for i in range(len(w) - 2))
 
+    @F.pandas_udf("boolean")
+    def each(words: pd.Series) -> pd.Series:
+        return words.map(usual)
 
-def _usual_letters(word: Column, groups: DataFrame, floor: float) -> Column:
-    """True where every group of three letters of the word is usual."""
-    usual = sorted(r["g"] for r in groups.where(F.col("n") >= floor).collect())
-    w = F.concat(F.lit("^"), word, F.lit("$"))
-    own = F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3)))
-    return F.size(F.array_except(own, F.lit(usual) if usual else F.array().cast("array<string>"))) == 0
+    return each
 
 
 def variant_pairs(records: DataFrame, given_names: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -23,14 +24,22 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return best_items(_read(spark, d, "predictions"))
 
 
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
+def _survivors(spark: SparkSession, d: str, policy: str) -> DataFrame:
     from .components import record_groups
     from .survivor import survivors
 
     records = _read(spark, d, "papers_with_duplicates")
     groups = record_groups(_read(spark, d, "paper_matches"), records)
-    found = survivors(records, groups, _read(spark, d, "source_trust"))
-    return found.select("group_id", "field_name", "rec_id")
+    return survivors(records, groups, _read(spark, d, "source_trust"), policy)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _survivors(spark, d, "priority")
+
+
+def p3_votes(spark: SparkSession, d: str) -> DataFrame:
+    """The survivors if the sums of votes decide before the fixed order."""
+    return _survivors(spark, d, "votes")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -64,6 +73,19 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack(count_tokens(_read(spark, d, "documents")))
 
 
+def p9_exchange(spark: SparkSession, d: str) -> DataFrame:
+    """The same in small partitions, so that those with gaps exchange documents: (documents, containers, least) in all.
+
+    ``least`` is the number of containers that the tokens would fill to the brim.
+    """
+    from .containers import pack
+    from .tokens import count_tokens
+
+    packed = pack(count_tokens(_read(spark, d, "documents")), part_items=500)
+    whole = F.ceil(F.sum("size") / F.lit(2048)).cast("long")
+    return packed.agg(F.countDistinct("doc_id").alias("documents"), F.countDistinct("container_id").alias("containers"), whole.alias("least"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     from .sentences import sentences
 

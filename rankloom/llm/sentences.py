@@ -84,7 +84,6 @@ class _Classes(dict):
 
 _CLASSES = _Classes()
 _END = re.compile("[at][atx]*(q[qx]*)?")
-_LETTER = re.compile("[luo]")
 # French sets its marks apart: « Est-ce assez ? » and « fragile. »
 _SPACED_CLOSE = re.compile("[   ]»")
 _QUOTES = re.compile("[“”„«»「」『』()（）\\[\\]‘’\"]")
@@ -106,7 +105,8 @@ def _lists(table: dict[str, str], languages: frozenset[str]) -> frozenset[str]:
     return frozenset(w for lang in ("all", *languages) for w in table[lang].split())
 
 
-_LANGUAGES = {lang: frozenset(words.split()) for lang, words in _TELLING.items()}
+_LANGUAGES = {w: [lang for lang, ws in _TELLING.items() if w in ws.split()] for words in _TELLING.values() for w in words.split()}
+_CYRILLIC, _DEVANAGARI = re.compile("[а-яА-Я]{3}"), re.compile("[ऀ-ॿ]")
 _PER_SET: dict[frozenset[str], tuple[frozenset[str], frozenset[str]]] = {}
 
 
@@ -126,16 +126,16 @@ def languages_of(text: str, classes: str, declared: str | None) -> frozenset[str
     is missing too.
     """
     found = set()
-    if "а" <= max(text, default="") and re.search("[а-яА-Я]{3}", text):
-        found.add("ru")
-    if re.search("[ऀ-ॿ]", text):
-        found.add("hi")
-    votes = dict.fromkeys(_LANGUAGES, 0)
+    if not text.isascii():
+        if _CYRILLIC.search(text):
+            found.add("ru")
+        if _DEVANAGARI.search(text):
+            found.add("hi")
+    votes = dict.fromkeys(_TELLING, 0)
     if "l" in classes:
-        for w in _LATIN_WORDS.findall(text.lower()):
-            for lang, words in _LANGUAGES.items():
-                if w in words:
-                    votes[lang] += 1
+        for langs in filter(None, map(_LANGUAGES.get, _LATIN_WORDS.findall(text.lower()))):
+            for lang in langs:
+                votes[lang] += 1
     top = max(votes.values())
     found |= {lang for lang, n in votes.items() if n and 10 * n >= top}
     if not found:
@@ -156,8 +156,10 @@ class _Text:
     def word_before(self, low: int, dot: int) -> str:
         """The folded word or lettered abbreviation that ends at ``dot``, without the white space in it."""
         found = _WORD_BEFORE.match(self.text, low, dot)
-        word = re.sub(r"\s", "", found.group()).lower() if found else ""
-        return re.sub(r"^.*[぀-鿿가-힯](?=[a-z])", "", word)
+        word = found.group().lower() if found else ""
+        if not word.isalnum():
+            word = _WHITE.sub("", word)
+        return word if word.isascii() else _AFTER_UNSPACED.sub("", word)
 
 
 class _Block:
@@ -170,10 +172,15 @@ class _Block:
         self.seen, self.run, self.odd = a, a, False  # how far it is read, where the last run without white space begins, whether that is an address or number
 
     def read_to(self, dot: int) -> None:
-        text = self.whole.text
-        for m in re.finditer(r"\s|[/@\\]|(?<=\w)\.(?=\w)", text[self.seen : dot]):
+        """Find the run of characters without white space before ``dot``, and whether it is an address or a number."""
+        text, low = self.whole.text, self.seen
+        gap = max(text.rfind(" ", low, dot), text.rfind("\n", low, dot))
+        if gap >= 0:
+            low = self.run = gap + 1
+            self.odd = False
+        for m in _RUN_MARK.finditer(text, low, dot):
             if m.group().isspace():
-                self.run, self.odd = self.seen + m.end(), False
+                self.run, self.odd = m.end(), False
             else:
                 self.odd = True
         self.seen = dot
@@ -181,7 +188,6 @@ class _Block:
     def goes_on(self, dot: int, end: int, after: int) -> bool:
         """Whether the sentence continues at ``after`` in spite of the terminators at ``dot`` (closing marks up to ``end``)."""
         text, classes, stop = self.whole.text, self.whole.classes, self.stop
-        self.read_to(dot)
         marks = text[dot:end]
         first = marks[0]
         nxt = after
@@ -196,6 +202,7 @@ class _Block:
             here = text[end] if end < stop else ""
             if len(marks) > 1 or first == "…":
                 return not (here.isupper() or (here and here in _OPENERS and head.isupper()))
+            self.read_to(dot)
             plain = dot - self.run > 2 and text[dot - 2 : dot].isalpha() and text[dot - 2 : dot].islower() and not self.odd
             return not (plain and here.isupper())
         if kind == "c" and unicodedata.category(head) != "Pd" or head and head in "；)]}）":  # SB8a
@@ -241,7 +248,7 @@ class _Block:
         if word in always or (len(tail) > 1 and tail in always):
             return True
         if len(tail) == 1 and tail.isalpha():
-            if re.match(r"[^\W\d_]\.", text[nxt : nxt + 2]):
+            if _LETTER_DOT.match(text, nxt, stop):
                 return True  # an abbreviation of several letters with spaces between
             # An initial, unless it is the last word of a longer run in a script without case.
             return before.isupper() or self.whole.classes[dot - 1] == "o" or small
@@ -256,6 +263,9 @@ class _Block:
         return False
 
 
+_LETTER_DOT = re.compile(r"[^\W\d_]\.")
+_RUN_MARK = re.compile(r"\s|[/@\\]|(?<=\w)\.(?=\w)")
+_WHITE, _AFTER_UNSPACED = re.compile(r"\s"), re.compile(r"^.*[぀-鿿가-힯](?=[a-z])")
 _INNER_CAPITAL = re.compile(r"[a-z]+[A-Z]|[a-z]+-[a-z]")
 _TWO_SMALL_WORDS = re.compile(r"[a-z]+ [a-z]")
 

@@ -49,7 +49,7 @@ def _listed(words: list[str]) -> str:
     return ", ".join(f"'{w}'" for w in words)
 
 
-P3 = f"""WITH RECURSIVE {_GROUPS},
+_VALUES = f"""WITH RECURSIVE {_GROUPS},
 f AS (
   SELECT rec_id, source, ingested_at, 'doi' AS field_name, CASE WHEN source = 'semantic_scholar' THEN externalids.doi ELSE doi END AS v FROM papers_with_duplicates
   UNION ALL SELECT rec_id, source, ingested_at, 'abstract', abstract FROM papers_with_duplicates
@@ -58,12 +58,26 @@ w AS (SELECT *, {canon('v')} AS c FROM f WHERE v IS NOT NULL),
 ok AS (SELECT * FROM w WHERE
   (field_name = 'doi' AND regexp_matches(v, '(?i)10\\.\\d{{4,9}}(/|%2f)\\s*\\S') AND NOT contains(v, '10.00000/'))
   OR (field_name = 'abstract' AND c <> '' AND c NOT IN ({_listed(_BLANK_ABSTRACT)}) AND NOT starts_with(c, 'thisitemhasnoabstract') AND NOT starts_with(c, 'theabstractofrecord'))
-  OR (field_name = 'venue' AND c <> '' AND c NOT IN ({_listed(_BLANK_VENUE)})))
+  OR (field_name = 'venue' AND c <> '' AND c NOT IN ({_listed(_BLANK_VENUE)})))"""
+
+P3 = _VALUES + """
 SELECT group_id, field_name, rec_id FROM (
   SELECT g.group_id, ok.field_name, ok.rec_id, row_number() OVER (PARTITION BY g.group_id, ok.field_name
     ORDER BY coalesce(t.trust, 0) DESC, CASE WHEN ok.field_name = 'doi' THEN 0 ELSE len(c) END DESC, ok.ingested_at DESC NULLS LAST, ok.rec_id) AS n
   FROM ok JOIN grp g USING (rec_id) LEFT JOIN source_trust t ON t.source = ok.source AND t.field_name = ok.field_name) WHERE n = 1"""
 
+# Votes: trust times the decay of a value's age, summed for each normalised value.
+P3_VOTES = _VALUES + """,
+voted AS (SELECT g.group_id, ok.field_name, ok.rec_id, coalesce(t.trust, 0) AS trust, ok.ingested_at,
+    CASE WHEN ok.field_name = 'doi' THEN 0 ELSE len(c) END AS letters,
+    CASE WHEN ok.field_name = 'doi' THEN regexp_extract(lower(regexp_replace(v, '(?i)%2f', '/', 'g')), '10\\.\\d{4,9}/\\S*[\\p{L}\\p{N}]') ELSE c END AS val,
+    coalesce(t.trust, 0) * coalesce(pow(2.0, -((epoch(n.newest)::BIGINT - floor(epoch(ok.ingested_at))::BIGINT) / 86400.0) / 180.0), 0.0) AS vote
+  FROM ok JOIN grp g USING (rec_id) CROSS JOIN (SELECT max(ingested_at) AS newest FROM papers_with_duplicates) n
+  LEFT JOIN source_trust t ON t.source = ok.source AND t.field_name = ok.field_name),
+summed AS (SELECT *, round(sum(vote) OVER (PARTITION BY group_id, field_name, val), 9) AS votes FROM voted)
+SELECT group_id, field_name, rec_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY group_id, field_name ORDER BY votes DESC, trust DESC, letters DESC, ingested_at DESC NULLS LAST, rec_id) AS n FROM summed) WHERE n = 1"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2, "p3_found": P3, "p5_found": P5, "p7_found": P7}
+    return {"p2_found": P2, "p3_found": P3, "p3_votes": P3_VOTES, "p5_found": P5, "p7_found": P7}

@@ -1,9 +1,9 @@
 """Best representative of each duplicate group, field by field.
 
-Fields are unpivoted to long rows of (group, field, record) with the numbers that decide,
-winners are chosen by ``max_by`` in one aggregation with map-side combining, and the
-winners are pivoted back to one row a group. Values stay where they are until a winner
-is known: the shuffle moves numbers only.
+Fields are unpivoted to long rows of (group, field, record) with the numbers that decide, votes
+are summed for each normalised value with map-side combining, winners are chosen by
+``max_by`` and pivoted back to one row a group. Values stay where they are: the shuffles
+move numbers only.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.functions.cells import canonical, has_content
+from rankloom.functions.cells import canonical
 
 FIELDS = ("doi", "abstract", "venue")
 
@@ -34,9 +34,9 @@ _MISSING_ABSTRACT = (
 )
 
 
-def _words(c: Column) -> Column:
-    """Lower-case letters and digits with single spaces between."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{M}\p{N}]+", " "))
+def _bare(pattern: str) -> str:
+    """The pattern for the canonical form, which has no spaces."""
+    return pattern.replace(r"\s?", "").replace(" ", "")
 
 
 def states_doi(c: Column) -> Column:
@@ -46,10 +46,9 @@ def states_doi(c: Column) -> Column:
     return (found != "") & ~found.rlike("^0+$")
 
 
-def states_abstract(c: Column) -> Column:
-    """An actual abstract, shortened or not; no stand-in for a missing one."""
-    short = _words(F.substring(c, 1, 400))
-    return has_content(c) & (short != "") & ~short.rlike(f"^(?:{_STAND_INS}|{_MISSING_ABSTRACT})$")
+def states_abstract(form: Column) -> Column:
+    """An actual abstract, shortened or not, by its canonical form; no stand-in for a missing one."""
+    return (form != "") & ~form.rlike(_bare(f"^(?:{_STAND_INS}|{_MISSING_ABSTRACT})$"))
 
 
 def venue_name(source: Column, venue: Column) -> Column:
@@ -57,36 +56,34 @@ def venue_name(source: Column, venue: Column) -> Column:
     return F.when(source == "openalex", F.get_json_object(venue, "$.display_name")).otherwise(venue)
 
 
-def states_venue(c: Column) -> Column:
-    words = _words(c)
-    return (words != "") & ~words.rlike(f"^(?:{_STAND_INS}|{_MISSING_VENUE})$")
+def states_venue(form: Column) -> Column:
+    return (form != "") & ~form.rlike(_bare(f"^(?:{_STAND_INS}|{_MISSING_VENUE})$"))
 
 
-def field_values(records: DataFrame) -> DataFrame:
-    """(rec_id, source, ingested_at, cells): of each record its values that state something.
+def field_values(records: DataFrame, *keep: str) -> DataFrame:
+    """(rec_id, source, ingested_at, *keep, cells): of each record its values that state something.
 
     ``weight`` is the number of letters and digits for abstract and venue and 0 for doi,
     which that doesn't decide. ``value_key`` is a hash of the normalised value.
     """
     doi = F.when(F.col("source") == "semantic_scholar", F.col("externalids.doi")).otherwise(F.col("doi"))
-    venue = venue_name(F.col("source"), F.col("venue"))
     doi_key = F.regexp_extract(F.lower(F.regexp_replace(doi, "(?i)%2f", "/")), r"10\.\d{4,9}/\S*[\p{L}\p{N}]", 0)
+    # Each text takes its canonical form once; everything else is read off that.
+    forms = records.select(
+        "rec_id", "source", "ingested_at", *keep, doi.alias("_doi"), doi_key.alias("_doi_key"),
+        canonical(F.col("abstract")).alias("_abstract"), canonical(venue_name(F.col("source"), F.col("venue"))).alias("_venue"),
+    )
 
-    def cell(name: str, ok: Column, text: Column, weigh: bool) -> Column:
-        key = doi_key if name == "doi" else canonical(text)
-        return F.struct(
-            F.lit(name).alias("field_name"),
-            ok.alias("ok"),
-            F.when(ok, F.length(canonical(text))).otherwise(0).alias("weight") if weigh else F.lit(0).alias("weight"),
-            F.xxhash64(key).alias("value_key"),
-        )
+    def cell(name: str, ok: Column, form: str, weigh: bool) -> Column:
+        weight = F.length(form) if weigh else F.lit(0)
+        return F.struct(F.lit(name).alias("field_name"), ok.alias("ok"), weight.alias("weight"), F.xxhash64(form).alias("value_key"))
 
     cells = F.array(
-        cell("doi", states_doi(doi), doi, False),
-        cell("abstract", states_abstract(F.col("abstract")), F.col("abstract"), True),
-        cell("venue", states_venue(venue), venue, True),
+        cell("doi", states_doi(F.col("_doi")), "_doi_key", False),
+        cell("abstract", states_abstract(F.col("_abstract")), "_abstract", True),
+        cell("venue", states_venue(F.col("_venue")), "_venue", True),
     )
-    return records.select("rec_id", "source", "ingested_at", F.filter(cells, lambda x: x["ok"]).alias("cells"))
+    return forms.select("rec_id", "source", "ingested_at", *keep, F.filter(cells, lambda x: x["ok"]).alias("cells"))
 
 
 def survivors(
@@ -94,41 +91,42 @@ def survivors(
 ) -> DataFrame:
     """(group_id, field_name, rec_id): the record whose value survives.
 
-    ``policy="priority"``: higher trust of the source for the field, then more letters
-    and digits (abstract, venue), then later ``ingested_at``, then smaller ``rec_id``.
-    ``policy="votes"``: every record votes for its normalised value with trust times
-    2^(-age / half life), age counted back from the latest record; the value with the
-    highest sum wins and is represented by its first record under the priority order.
+    Every record votes for its normalised value with the trust of its source in the field
+    times 2^(-age / half life), age counted back from the latest record. The votes of
+    each value are summed, and a value's best record stands for it: higher trust, then
+    more letters and digits (abstract, venue), then later ``ingested_at``, then smaller
+    ``rec_id``. ``policy="votes"``: the value with the highest sum wins, that order
+    decides ties. ``policy="priority"``: that order decides first and the votes break
+    ties. Winners come from ``max_by`` and are pivoted to one row a group, from which the
+    rows of the result are read.
+
     A source without a trust row has trust 0, a null ``ingested_at`` is oldest. Fields
     without any value give no row, empty tables give none.
     """
+    won = pivoted(records, groups, trust, policy, half_life_days)
+    picks = F.filter(F.array(*(F.struct(F.lit(f).alias("field_name"), F.col(f"{f}_rec").alias("rec_id")) for f in FIELDS)), lambda x: x["rec_id"].isNotNull())
+    return won.select("group_id", F.inline(picks))
+
+
+def pivoted(records: DataFrame, groups: DataFrame, trust: DataFrame, policy: str = "priority", half_life_days: float = 180.0) -> DataFrame:
+    """(group_id, doi_rec, abstract_rec, venue_rec): the surviving record of each field, null where none; see ``survivors``."""
     trusted = F.broadcast(trust.groupBy("source", "field_name").agg(F.max("trust").alias("trust")))
+    newest = F.broadcast(records.agg(F.max("ingested_at").alias("newest")))
     long = (
-        field_values(records)
+        field_values(records.join(groups, "rec_id"), "group_id")
         .where(F.size("cells") > 0)
-        .join(groups, "rec_id")
         .select("rec_id", "source", "ingested_at", "group_id", F.inline("cells"))
         .join(trusted, ["source", "field_name"], "left")
         .withColumn("trust", F.coalesce("trust", F.lit(0)))
+        .join(newest)
     )
     rank = F.struct(
         "trust", "weight", F.coalesce(F.unix_micros(F.col("ingested_at").cast("timestamp")), F.lit(-(2**62))).alias("at"), (-F.col("rec_id")).alias("neg")
     )
-    if policy == "priority":
-        return long.groupBy("group_id", "field_name").agg(F.max_by("rec_id", rank).alias("rec_id"))
-    newest = records.agg(F.max("ingested_at").alias("newest"))
     age = (F.unix_seconds(F.col("newest").cast("timestamp")) - F.unix_seconds(F.col("ingested_at").cast("timestamp"))) / F.lit(86400.0)
     vote = F.col("trust") * F.coalesce(F.pow(F.lit(2.0), -age / half_life_days), F.lit(0.0))
-    votes = (
-        long.join(F.broadcast(newest))
-        .groupBy("group_id", "field_name", "value_key")
-        .agg(F.sum(vote).alias("votes"), F.max(rank).alias("rank"))
-    )
-    best = F.struct(F.round("votes", 9), "rank")
-    return votes.groupBy("group_id", "field_name").agg((-F.max_by("rank.neg", best)).alias("rec_id"))
-
-
-def pivot_back(winners: DataFrame) -> DataFrame:
-    """One row a group with the surviving record of each field (null where none)."""
-    picks = [F.max(F.when(F.col("field_name") == f, F.col("rec_id"))).alias(f"{f}_rec") for f in FIELDS]
-    return winners.groupBy("group_id").agg(*picks)
+    votes = long.groupBy("group_id", "field_name", "value_key").agg(F.sum(vote).alias("votes"), F.max(rank).alias("rank"))
+    sums = F.round("votes", 9)
+    best = F.struct(sums, "rank") if policy == "votes" else F.struct("rank", sums)
+    picks = [(-F.max_by("rank.neg", F.when(F.col("field_name") == f, best))).alias(f"{f}_rec") for f in FIELDS]
+    return votes.groupBy("group_id").agg(*picks)

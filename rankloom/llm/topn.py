@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 def top_n(
-    rows: DataFrame, group: str, order: Sequence[Column], salt_by: Sequence[str], n: int, salts: int = 64, rank_as: str = "place"
+    rows: DataFrame, group: str, order: Sequence[Column], salt_by: Sequence[str], n: int, salts: int = 64, rank_as: str = "place", copies: bool = False
 ) -> DataFrame:
     """The first ``n`` rows of every ``group`` under ``order``, ranked from 1 in ``rank_as``.
 
@@ -18,6 +18,9 @@ def top_n(
     again. Spark cuts each map partition to ``n`` rows a subgroup before the shuffle
     (WindowGroupLimit), so a group with a third of all rows moves a few rows a task.
 
+    ``copies``: rows equal in every column are one row. They have one dense rank, so the
+    cut keeps them beside each other, and they are made one among the survivors only.
+
     ``order`` should end in a unique key; rows equal in all of it come in any order.
     A null group is a group. An empty table gives an empty table. Columns of ``rows``
     named ``_salt`` or ``_r`` are refused.
@@ -28,16 +31,16 @@ def top_n(
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)))
     first = Window.partitionBy(group, "_salt").orderBy(*order)
     last = Window.partitionBy(group).orderBy(*order)
-    kept = salted.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= n).drop("_salt", "_r")
+    kept = salted.withColumn("_r", (F.dense_rank() if copies else F.row_number()).over(first)).where(F.col("_r") <= n)
+    kept = (kept.distinct() if copies else kept).drop("_salt", "_r")
     return kept.withColumn(rank_as, F.row_number().over(last)).where(F.col(rank_as) <= n)
 
 
 def page_items(pages: DataFrame) -> DataFrame:
-    """Scored items of result pages, each (``pred_id``, ``item_pos``) once.
+    """Scored items of result pages, as often as their page was delivered.
 
     Rows: qid, pred_id, item_pos, score, title. Items without a score or with one that
-    is not a number are left out; null lists and null items give no row. Copies of a
-    page that was delivered again fall together in the map-side half of the aggregation.
+    is not a number are left out; null lists and null items give no row.
     """
     items = pages.select(
         "qid",
@@ -49,9 +52,7 @@ def page_items(pages: DataFrame) -> DataFrame:
         ).alias("item_pos", "item"),
     )
     scored = items.where(F.col("item.score").isNotNull() & ~F.isnan("item.score"))
-    return scored.groupBy("qid", "pred_id", "item_pos").agg(
-        F.max(F.col("item.score")).alias("score"), F.min("item.title").alias("title")
-    )
+    return scored.select("qid", "pred_id", "item_pos", "item.score", "item.title")
 
 
 def best_items(pages: DataFrame, n: int = 10, salts: int = 64) -> DataFrame:
@@ -61,5 +62,5 @@ def best_items(pages: DataFrame, n: int = 10, salts: int = 64) -> DataFrame:
     pred_id, then smaller position.
     """
     order = [F.desc("score"), F.asc_nulls_last("title"), F.asc("pred_id"), F.asc("item_pos")]
-    best = top_n(page_items(pages), "qid", order, ["pred_id", "item_pos"], n, salts)
+    best = top_n(page_items(pages), "qid", order, ["pred_id", "item_pos"], n, salts, copies=True)
     return best.select("qid", "place", "pred_id", F.col("item_pos").cast("int").alias("item_pos"))

@@ -6,10 +6,11 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from rankloom.functions.cells import canonical
 from rankloom.llm.components import connected_components, record_groups
 from rankloom.llm.containers import best_fit_decreasing, lower_bound, pack
 from rankloom.llm.format_dups import distinct_records, format_copies
-from rankloom.llm.survivor import pivot_back, states_abstract, states_doi, states_venue, survivors
+from rankloom.llm.survivor import pivoted, states_abstract, states_doi, states_venue, survivors
 from rankloom.llm.tokens import Encoder, count_tokens, default_vocabulary, encode_corpus, merge_long, merge_short
 from rankloom.llm.topn import best_items, top_n
 
@@ -104,13 +105,25 @@ def test_record_groups(spark):
     assert got == {1: 1, 2: 1, 3: 1}
 
 
+def test_shared_identifiers_hang_on_a_hub(spark):
+    """A thousand records of one identifier linked with a thousand of another: an edge a record."""
+    from rankloom.llm.components import record_links
+
+    recs = spark.createDataFrame([record(i, paperid="p1" if i % 2 else "p2") for i in range(2000)] + [record(9000, paperid="p3"), record(9001, paperid="p3")], RECORDS)
+    links = spark.createDataFrame([(1, "p1", "p2", True, 1.0, "e", None), (2, "p3", "gone", True, 1.0, "e", None)], LINKS)
+    assert record_links(links, recs).count() <= 2001
+    assert {tuple(r) for r in record_groups(links, recs).select("rec_id", "group_id").collect()} == {(i, 0) for i in range(2000)}
+
+
 def test_stand_ins(spark):
     def ask(fn, *values):
         return [r[0] for r in spark.createDataFrame([(v,) for v in values], "v string").select(fn(F.col("v"))).collect()]
 
     assert ask(states_doi, "doi:10.1234/x", "https://doi.example/10.1234%2Fx", "10.1234/", "pending", None, "10.00000/", "10.") == [True, True, False, False, False, False, False]
-    assert ask(states_abstract, "We study.", "No abstract available.", "[Abstract removed]", "—", None, "Sin resumen", "Abstract: we test") == [True, False, False, False, False, False, True]
-    assert ask(states_venue, "J. Data", "misc.", "(venue missing)", "?", None, "Unknown") == [True, False, False, False, False, False]
+    form = lambda fn: lambda c: fn(canonical(c))
+    assert ask(form(states_abstract), "." * 600 + " We study.", "There is no abstract" + "." * 600) == [True, False]
+    assert ask(form(states_abstract), "We study.", "No abstract available.", "[Abstract removed]", "—", None, "Sin resumen", "Abstract: we test") == [True, False, False, False, False, False, True]
+    assert ask(form(states_venue), "J. Data", "misc.", "(venue missing)", "?", None, "Unknown") == [True, False, False, False, False, False]
 
 
 def test_survivors(spark):
@@ -125,7 +138,13 @@ def test_survivors(spark):
     for policy in ("priority", "votes"):
         won = survivors(r, groups, trust, policy)
         assert {(x["field_name"], x["rec_id"]) for x in won.collect()} == {("abstract", 3), ("venue", 1), ("doi", 2)}
-    assert tuple(pivot_back(won).collect()[0]) == (1, 2, 3, 1)
+    assert tuple(pivoted(r, groups, trust).collect()[0]) == (1, 2, 3, 1)
+    # Two records of less trust outvote one of more, but not under the fixed order.
+    recs = [record(1, "a", venue="One", ingested_at=at), record(2, "b", venue="Two", ingested_at=at), record(3, "b", venue="TWO!", ingested_at=at)]
+    trust = spark.createDataFrame([("a", "venue", 4), ("b", "venue", 3)], "source string, field_name string, trust int")
+    groups = spark.createDataFrame([(i, 1) for i in (1, 2, 3)], "rec_id long, group_id long")
+    pick = lambda policy: survivors(spark.createDataFrame(recs, RECORDS), groups, trust, policy).collect()[0]["rec_id"]
+    assert (pick("priority"), pick("votes")) == (1, 2)
     assert survivors(r.limit(0), groups, trust).count() == 0
 
 
