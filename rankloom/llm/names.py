@@ -17,7 +17,6 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -246,7 +245,17 @@ def _index(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", F.inline(F.when(F.col("initial") != "", short).otherwise(full))).distinct()
 
 
-def _aligned(pairs: DataFrame, formal: dict[str, set[str]]) -> DataFrame:
+def _aligned(pairs: DataFrame, formal: dict[str, set[str]], usual: set[str], groups: set[str]) -> DataFrame:
+    """(a, b, how, x, y, x_known, y_known, plausible) of the pairs that align, with what the whole corpus says of x and y.
+
+    Known: a usual given name. Plausible: both are made of usual letter groups. The three
+    dictionaries are bounded (see ``USUAL``); they travel with the function.
+    """
+
+    def like_others(word: str) -> bool:
+        w = f"^{word}$"
+        return all(w[i : i + 3] in groups for i in range(len(w) - 2))
+
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -264,12 +273,16 @@ def _aligned(pairs: DataFrame, formal: dict[str, set[str]]) -> DataFrame:
                     xs.append(found[1])
                     ys.append(found[2])
             rows = pa.array(keep, pa.int32())
+            flags = [[x in usual for x in xs], [y in usual for y in ys], [k == "typo" and like_others(x) and like_others(y) for k, x, y in zip(kinds, xs, ys)]]
+            texts = [pa.array(c, pa.string()) for c in (kinds, xs, ys)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(kinds, pa.string()), pa.array(xs, pa.string()), pa.array(ys, pa.string())],
-                ["a", "b", "how", "x", "y"],
+                [batch.column(0).take(rows), batch.column(1).take(rows), *texts, *(pa.array(f, pa.bool_()) for f in flags)],
+                ["a", "b", "how", "x", "y", "x_known", "y_known", "plausible"],
             )
 
-    return pairs.select("a", "b", "wa", "wb", "ia", "ib", "ka", "kb").mapInArrow(run, "a long, b long, how string, x string, y string")
+    return pairs.select("a", "b", "wa", "wb", "ia", "ib", "ka", "kb").mapInArrow(
+        run, "a long, b long, how string, x string, y string, x_known boolean, y_known boolean, plausible boolean"
+    )
 
 
 def occurrences(records: DataFrame) -> DataFrame:
@@ -298,12 +311,14 @@ def name_groups(records: DataFrame, given_names: DataFrame) -> DataFrame:
     parsed = stage(parsed.select("*", F.xxhash64("initial", F.array_join(F.array_sort("words"), " ")).alias("node")), "parsed")
     people = parsed.where((F.col("kind") == "person") & (F.col("initial") == "") & (F.size("words") >= 2))
     floor = 2 + parsed.measured["rows"] * USUAL
-    usual = people.groupBy(F.col("words")[0].alias("g")).agg(F.count("*").alias("n")).where(F.col("n") >= floor).select("g")
-    usual = stage(usual.unionByName(spark.createDataFrame([(f,) for fs in formal.values() for f in fs], "g string")).distinct(), "usual")
+    counted = people.groupBy(F.col("words")[0].alias("g")).agg(F.count("*").alias("n")).where(F.col("n") >= floor)
+    usual = {r["g"] for r in counted.collect()} | {f for fs in formal.values() for f in fs}
+    table = spark.createDataFrame([(g,) for g in sorted(usual)], "g string")
+    groups = _letter_groups(people, floor)
 
     def known(df: DataFrame, column: str, flag: str) -> DataFrame:
         """``df`` with a flag that says whether the column holds a usual given name."""
-        return df.join(F.broadcast(usual.select(F.col("g").alias(column), F.lit(True).alias(flag))), column, "left").fillna(False, [flag])
+        return df.join(F.broadcast(table.select(F.col("g").alias(column), F.lit(True).alias(flag))), column, "left").fillna(False, [flag])
 
     nodes = parsed.groupBy("node").agg(F.min_by(F.struct("initial", "words", "kind"), "name").alias("p")).select("node", "p.*")
     nodes = nodes.withColumns({"head": F.col("words")[0], "tail": F.element_at("words", -1)})
@@ -325,18 +340,14 @@ def name_groups(records: DataFrame, given_names: DataFrame) -> DataFrame:
     pairs = pairs.select(F.when(swapped, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swapped, F.col("a")).otherwise(F.col("b")).alias("b")).where("a <> b").distinct()
     attributes = nodes.select("node", "words", "initial", "kind")
     pairs = pairs.join(attributes.toDF("a", "wa", "ia", "ka"), "a").join(attributes.toDF("b", "wb", "ib", "kb"), "b")
-    pairs = aligned = stage(_aligned(pairs, formal), "aligned")
+    pairs = aligned = stage(_aligned(pairs, formal, usual, groups), "aligned")
 
     shared = (
         pairs.select("a", "b").join(works.toDF("a", "work"), "a").join(works.toDF("b", "work"), ["b", "work"]).groupBy("a", "b").agg(F.count("*").alias("shared"))
     )
-    groups = _letter_groups(people, floor)
     pairs = pairs.join(shared, ["a", "b"], "left").fillna(0, ["shared"])
     pairs = pairs.join(support.toDF("a", "na"), "a").join(support.toDF("b", "nb"), "b")
-    pairs = known(known(pairs, "x", "x_known"), "y", "y_known")
-    both_known = F.col("x_known") & F.col("y_known")
-    likely = _usual_letters(groups)
-    plausible = F.when(F.col("how") == "typo", likely("x") & likely("y")).otherwise(F.lit(False))
+    both_known, plausible = F.col("x_known") & F.col("y_known"), F.col("plausible")
     one_is_given = F.col("x_known") | F.col("y_known")
     firm = F.when(F.col("how") == "same", True).when(
         F.col("how") == "typo", ~both_known & (one_is_given | (F.col("shared") > 0) | ~plausible)
@@ -349,7 +360,7 @@ def name_groups(records: DataFrame, given_names: DataFrame) -> DataFrame:
     links = stage(links.unionByName(_resolved(pairs.where("soft and not startswith(how, 'initial')"), _heads(links, support))), "spellings")
     links = links.unionByName(_resolved(pairs.where("soft and startswith(how, 'initial')"), _heads(links, support)))
     entity = connected_components(links)
-    drop(seen, works, pairs, usual)
+    drop(seen, works, pairs)
     return parsed.join(entity, "node", "left").select("name", F.coalesce("group_id", "node").alias("entity"))
 
 
@@ -400,20 +411,6 @@ def _letter_groups(people: DataFrame, floor: float) -> set[str]:
     return {r["g"] for r in grams.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") >= floor).collect()}
 
 
-def _usual_letters(groups: set[str]):
-    """A function of a column: true where every group of three letters of the word is usual."""
-
-    def usual(word: str | None) -> bool:
-        w = f"^{word}$"
-        return all(w[i : i + 3] in groups for i in range(len(w) - 2))
-
-    @F.pandas_udf("boolean")
-    def each(words: pd.Series) -> pd.Series:
-        return words.map(usual)
-
-    return each
-
-
 def variant_pairs(records: DataFrame, given_names: DataFrame) -> DataFrame:
     """(name_a, name_b): pairs of different spellings of one entity, smaller first in byte order."""
     named = stage(name_groups(records, given_names), "named")
