@@ -27,6 +27,22 @@ def ascii_words(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", " "))
 
 
+@F.udf(returnType=StringType(), useArrow=True)
+def compatible(text: str | None) -> str | None:
+    """Compatibility forms of characters unified (NFKC)."""
+    import unicodedata
+
+    return None if text is None else unicodedata.normalize("NFKC", text)
+
+
+@F.udf(returnType=StringType(), useArrow=True)
+def decoded(text: str | None) -> str | None:
+    """Entities of HTML decoded."""
+    import html
+
+    return None if text is None else html.unescape(text)
+
+
 def guard_words(c: Column) -> Column:
     """``ascii_words`` after tags are taken out."""
     return ascii_words(F.regexp_replace(c, "<[^>]+>", " "))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.text import GENERIC, ascii_words
 from rankloom.plans.evaluation import _CURVE, _REL, PER, curve, labelled, per_query
+from rankloom.plans import lexicon as L
 from rankloom.plans.inputs import CAND, candidates, norm, table
 from rankloom.plans.ranking import STRONG, SUBQUERY, by_source, case, place, strong_id
 from rankloom.plans.rerank import _COV, _E, ALPHAS, EVIDENCE, _GUARD, coverage, evidence, guard, variants
@@ -14,34 +15,7 @@ from rankloom.plans.scalars import questions as by_qid
 from rankloom.plans.understand import _CON, _Q, constraints, questions
 from rankloom.registry import query
 
-# What may stand before a question's subject; all that fit are taken off in order.
-LEADING = (r"^(?:supporting|support|providing|provide)\s+(?:the\s+)?claim(?:\s+that)?\s+", r"^explaining\s+why\s+", r"^(?:i\s+)?(?:am\s+)?looking\s+for\s+(?:research\s+)?(?:papers?|works?)?\s*",
-           r"^(?:could|can)\s+you\s+(?:please\s+)?(?:help\s+me\s+)?", r"^(?:list|find|show|provide)\s+(?:me\s+)?(?:all\s+|some\s+)?(?:papers?|works?|research)\s*", r"^is\s+there\s+(?:any\s+)?",
-           r"^(?:that|which)\s+")
-CONNECTORS = ("a", "an", "and", "for", "in", "of", "on", "or", "the", "to", "with")
-# Endings of a phrase that isn't complete.
-DANGLING = ("a", "an", "and", "as", "between", "by", "for", "from", "in", "into", "multiple", "of", "on", "or", "such", "the", "to", "using", "via", "with")
-
-
-@query("B17_peeled_phrases", f"""WITH {_Q} SELECT row_id, regexp_replace(regexp_replace({norm('question')}, '^((a|an|and|for|in|of|on|or|the|to|with) )+', ''), '( (a|an|and|for|in|of|on|or|the|to|with))+$', '') AS phrase FROM q""")
-def b17(spark, d):
-    edge = "|".join(CONNECTORS)
-    w = ascii_words(F.col("question"))
-    return questions(spark, d).select("row_id", F.regexp_replace(F.regexp_replace(w, f"^(?:(?:{edge}) )+", ""), f"(?: (?:{edge}))+$", "").alias("phrase"))
-
-
-def _lead_sql(c: str) -> str:
-    for p in LEADING:
-        c = f"trim(regexp_replace({c}, '(?i){p}', ''))"
-    return c
-
-
-@query("B19_clean_candidate", f"WITH {_Q} SELECT row_id, {_lead_sql('trim(question)')} AS phrase FROM q")
-def b19(spark, d):
-    c = F.trim("question")
-    for p in LEADING:
-        c = F.trim(F.regexp_replace(c, "(?i)" + p, ""))
-    return questions(spark, d).select("row_id", c.alias("phrase"))
+_DANG = ", ".join(repr(x) for x in L.DANGLING)
 
 
 @query("B21_seed_tokens", f"WITH {CAND} SELECT qid, pred_id, item_pos, len(list_distinct(list_filter(regexp_extract_all(lower(title), '[a-z0-9][a-z0-9.+_-]*'), lambda t: len(t) >= 3))) AS n FROM cand")
@@ -82,80 +56,6 @@ def d14(spark, d):
     return r.select("qid", F.array_join(F.transform("v", lambda x: x["rel"].cast("string")), "").alias("vector"))
 
 
-@query("E07_protected_terms", f"WITH {_Q}, t AS (SELECT unnest(['ai', 'gnn', 'llm', 'ner', 'rag', 'rlhf', 'sft', 'sql']) AS term) SELECT row_id, upper(term) AS term FROM q JOIN t ON contains(' ' || {norm('question')} || ' ', ' ' || term || ' ')")
-def e07(spark, d):
-    padded = F.concat(F.lit(" "), ascii_words(F.col("question")), F.lit(" "))
-    found = F.array_compact(F.array(*[F.when(padded.contains(f" {t} "), F.lit(t.upper())) for t in ("ai", "gnn", "llm", "ner", "rag", "rlhf", "sft", "sql")]))
-    return questions(spark, d).select("row_id", F.explode(found).alias("term"))
-
-
-@query("E06_relation_spans", f"WITH {_Q} SELECT row_id, unnest(regexp_extract_all({norm('question')}, '(evaluate|report|use|need) [a-z ]+? (on|for|after|than) ')) AS span FROM q")
-def e06(spark, d):
-    return questions(spark, d).select("row_id", F.explode(F.regexp_extract_all(ascii_words(F.col("question")), F.lit("(evaluate|report|use|need) [a-z ]+? (on|for|after|than) "), F.lit(0))).alias("span"))
-
-
-_DANG = ", ".join(repr(x) for x in DANGLING)
-
-
-@query("E08_complete_phrases", f"WITH {_CON} SELECT row_id, CAST(idx AS INTEGER) AS idx, text, NOT list_contains([{_DANG}], string_split(text, ' ')[-1]) AND (kind <> 'topic' OR contains(text, ' ')) AS complete FROM con")
-def e08(spark, d):
-    last = F.element_at(F.split("text", " "), -1)
-    return constraints(spark, d).select("row_id", "idx", "text", (~last.isin(*DANGLING) & ((F.col("kind") != "topic") | F.col("text").contains(" "))).alias("complete"))
-
-
-# Pattern in a question and the short name that is searched for it.
-ALIASES = (("large language model", "LLM"), ("retrieval augment", "RAG"), ("knowledge distillation", "distillation"), ("graph attention", "GAT"), ("entity resolution", "record linkage"),
-           ("question answering", "QA"), ("machine reading", "reading comprehension"), ("text to sql", "NL2SQL"))
-
-
-@query("E14_alias_plans", f"""WITH {_Q}, a AS (SELECT unnest([{', '.join('{' + f"'p': '{p}', 'alias': '{a}', 'i': {i}" + '}' for i, (p, a) in enumerate(ALIASES))}], recursive := true)),
-m AS (SELECT row_id, alias, row_number() OVER (PARTITION BY row_id ORDER BY i) AS n FROM q JOIN a ON contains({norm('question')}, p)) SELECT row_id, alias, n, round(greatest(0.75, 0.99 - 0.03 * (n - 1)), 9)::DOUBLE AS confidence FROM m WHERE n <= 2""")
-def e14(spark, d):
-    w = ascii_words(F.col("question"))
-    found = F.slice(F.array_compact(F.array(*[F.when(w.contains(p), F.lit(a)) for p, a in ALIASES])), 1, 2)
-    rows = questions(spark, d).select("row_id", F.posexplode(found).alias("i", "alias"))
-    return rows.select("row_id", "alias", (F.col("i") + 1).cast("bigint").alias("n"), F.round(F.greatest(F.lit(0.75), 0.99 - 0.03 * F.col("i")), 9).alias("confidence"))
-
-
-@query("E15_composed_plans", f"WITH {_CON}, m AS (SELECT row_id, min(text) FILTER (kind = 'method_or_property') AS m, min(text) FILTER (kind = 'task_or_modality') AS t, min(text) FILTER (kind = 'topic') AS o FROM con GROUP BY row_id) SELECT row_id, CASE WHEN m IS NOT NULL AND t IS NOT NULL THEN 86 WHEN t IS NOT NULL THEN 78 WHEN m IS NOT NULL THEN 76 ELSE 40 END AS priority, concat_ws(' ', m, t, o) AS text FROM m")
-def e15(spark, d):
-    first = lambda k: F.min(F.when(F.col("kind") == k, F.col("text")))
-    m = constraints(spark, d).groupBy("row_id").agg(first("method_or_property").alias("m"), first("task_or_modality").alias("t"), first("topic").alias("o"))
-    pri = F.when(F.col("m").isNotNull() & F.col("t").isNotNull(), 86).when(F.col("t").isNotNull(), 78).when(F.col("m").isNotNull(), 76).otherwise(40)
-    return m.select("row_id", pri.alias("priority"), F.concat_ws(" ", "m", "t", "o").alias("text"))
-
-
-@query("E16_title_plans", f"""WITH {_Q} SELECT row_id, regexp_extract(question, '["“]([^"”]{{3,}})["”]', 1) AS title, 110 AS priority FROM q WHERE regexp_matches(question, '["“]([^"”]{{3,}})["”]')""")
-def e16(spark, d):
-    t = F.regexp_extract("question", r'["“]([^"”]{3,})["”]', 1)
-    return questions(spark, d).select("row_id", t.alias("title"), F.lit(110).alias("priority")).where("title <> ''")
-
-
-@query("E18_merged_constraints", f"WITH {_CON} SELECT row_id, list_aggregate(list_sort(list_distinct(string_split(text, ' '))), 'string_agg', ' ') AS words, max(weight) AS weight, count(*) AS merged FROM con GROUP BY ALL")
-def e18(spark, d):
-    words = F.array_join(F.array_sort(F.array_distinct(F.split("text", " "))), " ")
-    return constraints(spark, d).groupBy("row_id", words.alias("words")).agg(F.max("weight").alias("weight"), F.count("*").alias("merged"))
-
-
-@query("E19_residual_tokens", f"""WITH {_CON}, qt AS (SELECT row_id, unnest(string_split({norm('question')}, ' ')) AS t, generate_subscripts(string_split({norm('question')}, ' '), 1) AS p FROM q), cwords AS (SELECT DISTINCT row_id, unnest(string_split(text, ' ')) AS t FROM con),
-left_ AS (SELECT qt.*, p - row_number() OVER (PARTITION BY qt.row_id ORDER BY p) AS island FROM qt ANTI JOIN cwords USING (row_id, t)), spans AS (SELECT row_id, min(p) AS p, count(*) AS n, string_agg(t, ' ' ORDER BY p) AS span FROM left_ GROUP BY row_id, island)
-SELECT row_id, span FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY p) AS k FROM spans WHERE n BETWEEN 2 AND 8) WHERE k <= 3""")
-def e19(spark, d):
-    """Runs of 2 to 8 question words that no constraint covers, the first three: gaps and islands."""
-    q = questions(spark, d).select("row_id", F.posexplode(F.split(ascii_words(F.col("question")), " ")).alias("p", "t"))
-    c = constraints(spark, d).select("row_id", F.explode(F.split("text", " ")).alias("t")).distinct()
-    w = Window.partitionBy("row_id").orderBy("p")
-    rest = q.join(c, ["row_id", "t"], "left_anti").withColumn("island", F.col("p") - F.row_number().over(w))
-    spans = rest.groupBy("row_id", "island").agg(F.min("p").alias("p"), F.array_sort(F.collect_list(F.struct("p", "t"))).alias("ts")).where("size(ts) between 2 and 8")
-    return spans.withColumn("k", F.row_number().over(w)).where("k <= 3").select("row_id", F.array_join(F.transform("ts", lambda x: x["t"]), " ").alias("span"))
-
-
-@query("E20_guard_constraints", "WITH q AS (SELECT qid, min(question) AS question FROM predictions WHERE question IS NOT NULL GROUP BY qid) SELECT qid, contains(lower(question), 'benchmark') AS wants_benchmark, contains(lower(question), 'not need') AS excludes FROM q")
-def e20(spark, d):
-    low = F.lower("question")
-    return by_qid(spark, d).select("qid", low.contains("benchmark").alias("wants_benchmark"), low.contains("not need").alias("excludes"))
-
-
 @query("E21_plan_substitution", "WITH a AS (SELECT qid, min(question) AS base FROM predictions WHERE question IS NOT NULL GROUP BY qid), b AS (SELECT qid, min(question) AS fresh FROM pasa_like_sample WHERE qid IS NOT NULL AND question IS NOT NULL GROUP BY qid) SELECT qid, fresh AS text, base <> fresh AS replaced FROM a JOIN b USING (qid)")
 def e21(spark, d):
     b = table(spark, d, "pasa_like_sample").where("qid is not null and question is not null").groupBy("qid").agg(F.min("question").alias("fresh"))
@@ -204,7 +104,7 @@ def j08(spark, d):
 @query("J09_repair_regression", f"WITH {_CON} SELECT count(*) AS constraints, count(*) FILTER (list_contains([{_DANG}], string_split(text, ' ')[-1])) AS fragments FROM con")
 def j09(spark, d):
     last = F.element_at(F.split("text", " "), -1)
-    return constraints(spark, d).agg(F.count("*").alias("constraints"), F.count_if(last.isin(*DANGLING)).alias("fragments"))
+    return constraints(spark, d).agg(F.count("*").alias("constraints"), F.count_if(last.isin(*L.DANGLING)).alias("fragments"))
 
 
 @query("M14_recovery_rollup", f"""WITH {PER} SELECT CASE WHEN tp = 0 THEN 'none' WHEN first_hit <= 5 THEN 'early' ELSE 'late' END AS family, count(*) AS queries, sum(fn)::BIGINT AS open FROM per GROUP BY ROLLUP (CASE WHEN tp = 0 THEN 'none' WHEN first_hit <= 5 THEN 'early' ELSE 'late' END)""")
