@@ -8,16 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
+from rankloom.lexicon import SINGULAR
+
 # Words that say nothing in a research question.
 STOPWORDS = (
     "a an and are as at be been being by can could for from give has have having in into is it its me of on or paper papers "
     "result results show shows shown that the their there these this to using was were what which with work works"
 ).split()
-# Plural nouns of research texts brought to the singular.
-SINGULAR = {
-    "datasets": "dataset", "models": "model", "methods": "method", "papers": "paper", "networks": "network", "tasks": "task",
-    "systems": "system", "results": "result", "approaches": "approach", "documents": "document", "images": "image", "videos": "video",
-}
 #: One word of these is no evidence by itself.
 GENERIC = "analysis approach data document learning method model network paper prediction result system task".split()
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.text import GENERIC, ascii_words
 from rankloom.plans.evaluation import _CURVE, _REL, PER, curve, labelled, per_query
-from rankloom.plans import lexicon as L
+from rankloom import lexicon as L
 from rankloom.plans.inputs import CAND, candidates, norm, table
 from rankloom.plans.ranking import STRONG, SUBQUERY, by_source, case, place, strong_id
 from rankloom.plans.rerank import _COV, _E, ALPHAS, EVIDENCE, _GUARD, coverage, evidence, guard, variants
@@ -56,12 +56,6 @@ def d14(spark, d):
     return r.select("qid", F.array_join(F.transform("v", lambda x: x["rel"].cast("string")), "").alias("vector"))
 
 
-@query("E21_plan_substitution", "WITH a AS (SELECT qid, min(question) AS base FROM predictions WHERE question IS NOT NULL GROUP BY qid), b AS (SELECT qid, min(question) AS fresh FROM pasa_like_sample WHERE qid IS NOT NULL AND question IS NOT NULL GROUP BY qid) SELECT qid, fresh AS text, base <> fresh AS replaced FROM a JOIN b USING (qid)")
-def e21(spark, d):
-    b = table(spark, d, "pasa_like_sample").where("qid is not null and question is not null").groupBy("qid").agg(F.min("question").alias("fresh"))
-    return by_qid(spark, d).join(b, "qid").select("qid", F.col("fresh").alias("text"), (F.col("question") != F.col("fresh")).alias("replaced"))
-
-
 @query("F04_textual_coverage", f"WITH {EVIDENCE} SELECT qid, key, count(*) FILTER (match <> 'none') AS covered FROM ev GROUP BY qid, key")
 def f04(spark, d):
     return evidence(spark, d).groupBy("qid", "key").agg(F.count_if(F.col("match") != "none").alias("covered"))

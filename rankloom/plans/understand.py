@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import ascii_words, compatible
-from rankloom.plans import lexicon as L
+from rankloom import lexicon as L
 from rankloom.plans.inputs import norm, table
 from rankloom.registry import query
 
