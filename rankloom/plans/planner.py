@@ -469,3 +469,75 @@ def substituted(plan: DataFrame, failures: DataFrame, expansions: DataFrame) ->
         raise ValueError(f"no plan or expansion for {gaps[0]['qid']}")
     first = F.element_at("planned_queries", 1).withField("text", F.col("expanded_query"))
     return both.select("qid", F.array(first).alias("planned_queries"))
+
+
+# ---- canonical constraints in SQL: the fold over a question's constraints is a recursive query
+
+
+def _canonical_sql(c: str) -> str:
+    return f"CASE {c} " + " ".join(f"WHEN '{a}' THEN '{n}'" for a, n in ALIASES.items() if a != n) + f" ELSE {c} END"
+
+
+def _jaccard_sql(a: str, b: str) -> str:
+    return f"(len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b}))))"
+
+
+def _fold_sql(items: str, out: str) -> str:
+    """``out``: (row_id, n, text, kind, weight, terms, aliases, ids) from ``items`` (row_id, n from 1, id, kind, weight, key, raw, name, ws)."""
+    struct = "STRUCT(text VARCHAR, kind VARCHAR, weight DOUBLE, terms VARCHAR[], aliases VARCHAR[], ids VARCHAR[])"
+    size = lambda c: f"len(string_split({c}, ' '))"
+    shorter = f"CASE WHEN {_canonical_sql('h.text')} <> h.text THEN {_canonical_sql('h.text')} WHEN {size('name')} < {size('h.text')} THEN name WHEN {size('h.text')} < {size('name')} THEN h.text ELSE least(h.text, name) END"
+    grown = f"{{'text': {shorter}, 'kind': h.kind, 'weight': greatest(h.weight, weight), 'terms': list_distinct(list_concat(h.terms, ws)), 'aliases': list_distinct(list_concat(h.aliases, [key, name, raw])), 'ids': list_distinct(list_concat(h.ids, [id]))}}"
+    fresh = "{'text': name, 'kind': kind, 'weight': weight, 'terms': ws, 'aliases': list_distinct([key, name, raw]), 'ids': [id]}"
+    at = f"coalesce(nullif(list_position(list_transform(f.have, lambda h: h.text = x.name OR list_contains(h.aliases, x.name)), true), 0), list_position(list_transform(f.have, lambda h: h.kind = x.kind AND {_jaccard_sql('h.terms', 'x.ws')} >= 0.8), true), 0)"
+    return f"""{out}_r AS (SELECT row_id, 0::BIGINT AS step, []::{struct}[] AS have FROM (SELECT DISTINCT row_id FROM {items})
+  UNION ALL SELECT row_id, step + 1, CASE WHEN spot > 0 THEN list_transform(have, lambda h, i: CASE WHEN i = spot THEN {grown} ELSE h END) ELSE list_append(have, {fresh}) END
+  FROM (SELECT f.row_id, f.step, f.have, x.id, x.kind, x.weight, x.key, x.raw, x.name, x.ws, {at} AS spot FROM {out}_r f JOIN {items} x ON x.row_id = f.row_id AND x.n = f.step + 1)),
+{out}_l AS (SELECT row_id, arg_max(have, step) AS have FROM {out}_r GROUP BY row_id),
+{out} AS (SELECT row_id, n, h.text, h.kind, h.weight, list_sort(h.terms) AS terms, list_sort(h.aliases) AS aliases, h.ids FROM (SELECT row_id, unnest(have) AS h, generate_subscripts(have, 1) - 1 AS n FROM {out}_l))"""
+
+
+_SLUG = lambda c, n: f"coalesce(nullif(substr(regexp_replace(regexp_replace(lower({c}), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, {n}), ''), 'constraint')"
+
+
+def _items_sql(src: str, out: str) -> str:
+    """``src`` has row_id, idx, id, text, kind, weight."""
+    return f"""{_peeled_sql(src, 'text', out + '_p')},
+{out} AS (SELECT row_id, row_number() OVER (PARTITION BY row_id ORDER BY idx) AS n, id, kind, weight, peeled AS key, {_evidence_sql('text')} AS raw, {_canonical_sql('peeled')} AS name, list_distinct(string_split({_canonical_sql('peeled')}, ' ')) AS ws FROM {out}_p WHERE peeled <> '')"""
+
+
+def _peeled_expr(c: str) -> str:
+    """``peeled`` of one value as an expression, for short phrases within lists."""
+    run = lambda ws, words: f"coalesce(nullif(list_position(list_transform({ws}, lambda w: NOT list_contains({_lst(words)}, w)), true), 0) - 1, len({ws}))"
+    ws = f"string_split({_evidence_sql(c)}, ' ')"
+    front = f"({ws})[least({run(ws, L.LEADING_CONNECTORS)}, greatest(len({ws}) - 2, 0)) + 1:]"
+    back = f"list_reverse({front})"
+    return f"array_to_string(list_reverse(({back})[least({run(back, L.TRAILING_CONNECTORS)}, greatest(len({front}) - 2, 0)) + 1:]), ' ')"
+
+
+def _meaningful_sql(k: str) -> str:
+    ws = f"string_split({k}, ' ')"
+    loose = f"(len({ws}) = 1 OR {ws}[-1] IN {_in(L.RESIDUAL_DANGLING)} OR (list_contains({ws}, 'between') AND {ws}[-1] IN ('between', 'multiple')) OR regexp_matches({k}, '{_BROAD}'))"
+    return f"({k} <> '' AND ({k} IN {_in(L.SHORT_TERMS)} OR NOT {loose}))"
+
+
+_MERGED = f"""ci AS (SELECT row_id, idx, 'c' || (idx + 1) || '_' || {_SLUG('text', 40)} AS id, text, kind, weight FROM con), {_items_sql('ci', 'it')}, {_fold_sql('it', 'mg')}"""
+_RESIDUAL = f"""rq AS (SELECT row_id, string_split({_evidence_sql('question')}, ' ') AS ws FROM q),
+rp AS (SELECT row_id, list_distinct(flatten(list(list_concat([text], aliases)))) AS phrases, list(terms) AS concepts FROM mg GROUP BY row_id),
+rp1 AS (SELECT row_id, unnest(phrases) AS p FROM rp), {_peeled_sql('rp1', 'p', 'rp2')}, rp3 AS (SELECT row_id, list(string_split(peeled, ' ')) AS parts FROM rp2 GROUP BY row_id),
+rs0 AS (SELECT rq.row_id, ws, coalesce(parts, []) AS parts, coalesce(concepts, []) AS concepts FROM rq LEFT JOIN rp USING (row_id) LEFT JOIN rp3 USING (row_id)),
+rs1 AS (SELECT row_id, concepts, array_to_string(list_transform(ws, lambda w, i: CASE WHEN list_contains({_lst(L.BOUNDARIES)}, w) OR len(list_filter(parts, lambda p: len(list_filter(range(greatest(i - len(p) + 1, 1), i + 1), lambda s: ws[s:s + len(p) - 1] = p)) > 0)) > 0 THEN '|' ELSE w END), ' ') AS marks FROM rs0),
+rs2 AS (SELECT row_id, concepts, unnest(string_split_regex(marks, ' ?\\| ?(\\| ?)*')) AS r, generate_subscripts(string_split_regex(marks, ' ?\\| ?(\\| ?)*'), 1) AS i FROM rs1),
+rs3 AS (SELECT row_id, concepts, i, trim(r) AS r FROM rs2 WHERE trim(r) <> '' AND len(string_split(trim(r), ' ')) BETWEEN {SPAN_LEAST} AND {SPAN_MOST}), {_peeled_sql('rs3', 'r', 'rs4')},
+rs5 AS (SELECT row_id, concepts, i, {_canonical_sql('peeled')} AS k FROM rs4 WHERE len(string_split(peeled, ' ')) >= {SPAN_LEAST} AND {_meaningful_sql('peeled')}),
+rs6 AS (SELECT row_id, k, min(i) AS i, any_value(concepts) AS concepts FROM rs5 GROUP BY row_id, k),
+res AS (SELECT * FROM (SELECT row_id, row_number() OVER (PARTITION BY row_id ORDER BY i) - 1 AS n, k AS span FROM rs6 WHERE {_meaningful_sql('k')} AND len(list_filter(concepts, lambda c: {_jaccard_sql("list_distinct(string_split(k, ' '))", 'c')} >= 0.8)) = 0) WHERE n < {SPANS})"""
+CANON = f"""{_CON}, {_MERGED}, {_RESIDUAL},
+ci2 AS (SELECT row_id, idx, id, text, kind, weight FROM ci UNION ALL SELECT row_id, n + 100, 'residual_query_span_' || (n + 1), span, 'topic', 1.0 FROM res), {_items_sql('ci2', 'it2')}, {_fold_sql('it2', 'can0')},
+can AS (SELECT *, 'cc' || (n + 1) || '_' || {_SLUG('text', 48)} AS id FROM can0)"""
+
+from rankloom.registry import SQL  # noqa: E402
+
+SQL["E18_merged_constraints"] = f"WITH RECURSIVE {_CON}, {_MERGED} SELECT row_id, CAST(n AS INTEGER) AS n, text, kind, weight, terms, aliases, ids FROM mg"
+SQL["E19_residual_spans"] = f"WITH RECURSIVE {_CON}, {_MERGED}, {_RESIDUAL} SELECT row_id, CAST(n AS INTEGER) AS n, span FROM res"
+SQL["E19_canonical_constraints"] = f"WITH RECURSIVE {CANON} SELECT row_id, CAST(n AS INTEGER) AS n, text, kind, weight, terms, aliases, ids, id FROM can"
