@@ -10,14 +10,10 @@ from rankloom.plans.evaluation import _CURVE, _REL, PER, curve, labelled, per_qu
 from rankloom import lexicon as L
 from rankloom.plans.inputs import CAND, candidates, norm, table
 from rankloom.plans.ranking import STRONG, SUBQUERY, by_source, case, place, strong_id
-from rankloom.plans.rerank import _COV, _E, ALPHAS, EVIDENCE, _GUARD, coverage, evidence, guard, variants
 from rankloom.plans.scalars import questions as by_qid
 from rankloom.plans.understand import _CON, _Q, constraints, questions
 from rankloom.registry import query
 
-_DANG = ", ".join(repr(x) for x in L.DANGLING)
-
-
 @query("B21_seed_tokens", f"WITH {CAND} SELECT qid, pred_id, item_pos, len(list_distinct(list_filter(regexp_extract_all(lower(title), '[a-z0-9][a-z0-9.+_-]*'), lambda t: len(t) >= 3))) AS n FROM cand")
 def b21(spark, d):
     found = F.regexp_extract_all(F.lower("title"), F.lit("[a-z0-9][a-z0-9.+_-]*"), F.lit(0))
@@ -56,73 +52,15 @@ def d14(spark, d):
     return r.select("qid", F.array_join(F.transform("v", lambda x: x["rel"].cast("string")), "").alias("vector"))
 
 
-@query("F04_textual_coverage", f"WITH {EVIDENCE} SELECT qid, key, count(*) FILTER (match <> 'none') AS covered FROM ev GROUP BY qid, key")
-def f04(spark, d):
-    return evidence(spark, d).groupBy("qid", "key").agg(F.count_if(F.col("match") != "none").alias("covered"))
-
-
-@query("F05_constraint_hits", f"""WITH {_COV}, h AS (SELECT qid, key, sum({case(SUBQUERY, 0.6)} / (rank + 5) + CASE WHEN {STRONG} THEN 0.015 ELSE 0 END) AS s, count(*) AS occ, min(rank) AS best FROM cand GROUP BY qid, key)
-SELECT qid, key, round(s + 0.04 * occ * covered, 9) AS score, row_number() OVER (PARTITION BY qid ORDER BY covered DESC, occ DESC, round(s + 0.04 * occ * covered, 9) DESC, best, key) AS place FROM h JOIN cov USING (qid, key)""")
-def f05(spark, d):
-    s = F.sum(by_source(SUBQUERY, 0.6) / (F.col("rank") + 5) + F.when(strong_id(), 0.015).otherwise(0.0))
-    h = candidates(spark, d).groupBy("qid", "key").agg(s.alias("s"), F.count("*").alias("occ"), F.min("rank").alias("best"))
-    h = h.join(coverage(spark, d).select("qid", "key", "covered"), ["qid", "key"]).withColumn("score", F.round(F.col("s") + 0.04 * F.col("occ") * F.col("covered"), 9))
-    return place(h, F.desc("covered"), F.desc("occ"), F.desc("score"), F.asc("best"), F.asc("key")).select("qid", "key", "score", "place")
-
-
 _GEN = "[" + ", ".join(repr(g) for g in GENERIC) + "]"
 
 
-@query("J02_phrase_eligibility", f"WITH {_CON} SELECT row_id, CAST(idx AS INTEGER) AS idx, NOT list_contains({_GEN}, text) AS eligible FROM con")
-def j02(spark, d):
-    return constraints(spark, d).select("row_id", "idx", (~F.col("text").isin(*GENERIC)).alias("eligible"))
-
-
-@query("J03_needed_tokens", f"WITH {_CON} SELECT row_id, CAST(idx AS INTEGER) AS idx, CAST(CASE WHEN len(string_split(text, ' ')) <= 2 THEN len(string_split(text, ' ')) ELSE greatest(2, ceil(0.8 * len(string_split(text, ' ')))) END AS BIGINT) AS needed FROM con")
-def j03(spark, d):
-    n = F.size(F.split("text", " "))
-    return constraints(spark, d).select("row_id", "idx", F.when(n <= 2, n).otherwise(F.greatest(F.lit(2), F.ceil(0.8 * n))).cast("bigint").alias("needed"))
-
-
-@query("J05_raw_constraints", f"WITH {_CON} SELECT row_id, 'raw' || (idx + 1) AS id, text FROM con")
-def j05(spark, d):
-    return constraints(spark, d).select("row_id", F.concat(F.lit("raw"), F.col("idx") + 1).alias("id"), "text")
-
-
-@query("J08_evidence_audit", f"WITH {_COV} SELECT kind, count(*) FILTER (match <> 'none') AS matched, count(*) AS total, count(*) FILTER (starts_with(match, 'title')) AS title_only FROM ev GROUP BY kind")
-def j08(spark, d):
-    m = F.col("match")
-    return evidence(spark, d).groupBy("kind").agg(F.count_if(m != "none").alias("matched"), F.count("*").alias("total"), F.count_if(m.startswith("title")).alias("title_only"))
-
-
-@query("J09_repair_regression", f"WITH {_CON} SELECT count(*) AS constraints, count(*) FILTER (list_contains([{_DANG}], string_split(text, ' ')[-1])) AS fragments FROM con")
-def j09(spark, d):
-    last = F.element_at(F.split("text", " "), -1)
-    return constraints(spark, d).agg(F.count("*").alias("constraints"), F.count_if(last.isin(*L.DANGLING)).alias("fragments"))
-
-
 @query("M14_recovery_rollup", f"""WITH {PER} SELECT CASE WHEN tp = 0 THEN 'none' WHEN first_hit <= 5 THEN 'early' ELSE 'late' END AS family, count(*) AS queries, sum(fn)::BIGINT AS open FROM per GROUP BY ROLLUP (CASE WHEN tp = 0 THEN 'none' WHEN first_hit <= 5 THEN 'early' ELSE 'late' END)""")
 def m14(spark, d):
     fam = F.when(F.col("tp") == 0, "none").when(F.col("first_hit") <= 5, "early").otherwise("late")
     return per_query(spark, d).withColumn("family", fam).rollup("family").agg(F.count("*").alias("queries"), F.sum("fn").alias("open"))
 
 
-@query("N02_alpha_selection", f"""WITH {_E}, f AS (SELECT qid, (row_number() OVER (ORDER BY qid) - 1) % 5 AS fold FROM (SELECT DISTINCT qid FROM ex)),
-s AS (SELECT a AS alpha, fold, ex.qid, max(round(a * pure + (1 - a) * cov, 9)) AS top FROM ex JOIN f USING (qid) CROSS JOIN (SELECT unnest([{', '.join(map(str, ALPHAS))}])::DOUBLE AS a) GROUP BY ALL),
-m AS (SELECT alpha, avg(v) AS mean FROM (SELECT alpha, fold, avg(top) AS v FROM s GROUP BY ALL) GROUP BY alpha)
-SELECT alpha, round(mean, 9) AS mean, alpha = (SELECT max(alpha) FROM m WHERE (SELECT max(mean) FROM m) - mean <= 0.005) AS chosen FROM m""")
-def n02(spark, d):
-    """Mean over folds for each blend; among those within 0.005 of the best the largest is chosen."""
-    v = variants(spark, d)
-    f = v.select("qid").distinct().withColumn("fold", (F.row_number().over(Window.orderBy("qid")) - 1) % 5)
-    g = v.join(F.broadcast(f), "qid").withColumn("alpha", F.explode(F.array(*map(F.lit, ALPHAS))))
-    top = g.groupBy("alpha", "fold", "qid").agg(F.max(F.round(F.col("alpha") * F.col("pure") + (1 - F.col("alpha")) * F.col("cov"), 9)).alias("top"))
-    m = top.groupBy("alpha", "fold").agg(F.avg("top").alias("v")).groupBy("alpha").agg(F.avg("v").alias("mean"))
-    near = F.max("mean").over(Window.partitionBy()) - F.col("mean") <= 0.005
-    best = F.max(F.when(F.col("near"), F.col("alpha"))).over(Window.partitionBy())
-    return m.withColumn("near", near).withColumn("best", best).select("alpha", F.round("mean", 9).alias("mean"), (F.col("alpha") == F.col("best")).alias("chosen"))
-
-
 _FOLD = "CAST(('0x' || substr(sha256('13:' || qid), 1, 12)) AS BIGINT) % 5"
 
 
@@ -149,21 +87,6 @@ def q03(spark, d):
     return constraints(spark, d).groupBy("row_id").agg(F.array_join(F.array_sort(F.collect_set("kind")), ";").alias("kinds"), at(0).alias("plan_1"), at(1).alias("plan_2"))
 
 
-@query("Q08_reason_samples", f"WITH {_GUARD}, n AS (SELECT qid, key, decision, row_number() OVER (PARTITION BY qid ORDER BY rank) AS n FROM gd) SELECT qid, key, decision FROM n WHERE n <= 3")
-def q08(spark, d):
-    return place(guard(spark, d), F.asc("rank"), name="n").where("n <= 3").select("qid", "key", "decision")
-
-
-@query("Q11_guard_text", f"WITH {_GUARD} SELECT qid, key, 'score=' || CAST(round(gscore * 1000) AS BIGINT) || '; missing=' || missing AS text FROM gd")
-def q11(spark, d):
-    return guard(spark, d).select("qid", "key", F.concat(F.lit("score="), F.round(F.col("gscore") * 1000).cast("bigint"), F.lit("; missing="), "missing").alias("text"))
-
-
-@query("Q13_anchored_with_constraints", f"WITH {_COV}, r AS (SELECT qid, key, row_number() OVER (PARTITION BY qid ORDER BY covered DESC, rank) AS place FROM cov) SELECT qid, key, place FROM r WHERE place <= 100")
-def q13(spark, d):
-    return place(coverage(spark, d), F.desc("covered"), F.asc("rank")).where("place <= 100").select("qid", "key", "place")
-
-
 @query("A11_budgeted_calls", "SELECT qid, n FROM (SELECT qid, row_number() OVER (ORDER BY qid) AS n FROM (SELECT DISTINCT qid FROM predictions WHERE qid IS NOT NULL)) WHERE n <= 48")
 def a11(spark, d):
     """The calls that fit a hard budget, in a fixed order, before any is made."""
