@@ -194,31 +194,6 @@ def oracle(spark, d, most: int = 100) -> DataFrame:
     return found.select("qid", F.coalesce(-F.col("best.k"), none).alias("best_k"), F.round(F.coalesce("best.f", F.lit(0.0)), 9).alias("best_f1"))
 
 
-@query("L09_oracle_every_k")
-def l09_every_k(spark, d):
-    """The oracle cut-off over every K; L09_oracle_k searches the grid that its SQL names."""
-    return oracle(spark, d)
-
-
-@query("L08_fixed_k_curve", f"WITH {_CURVE} SELECT k, round(avg(f), 9) AS macro_f1, sum(tp)::BIGINT AS tp FROM curve GROUP BY k")
-def l08(spark, d):
-    return curve(spark, d).groupBy("k").agg(F.round(F.avg("f"), 9).alias("macro_f1"), F.sum("tp").cast("bigint").alias("tp"))
-
-
-@query("L09_oracle_k", f"WITH {_CURVE} SELECT qid, arg_max(k, (round(f, 12), -k)) AS best_k, round(max(f), 9) AS best_f1 FROM curve GROUP BY qid")
-def l09(spark, d):
-    return curve(spark, d).groupBy("qid").agg(F.max_by("k", F.struct(F.round("f", 12), -F.col("k"))).alias("best_k"), F.round(F.max("f"), 9).alias("best_f1"))
-
-
-@query("L10_best_fixed_k", f"""WITH {_CURVE}, m AS (SELECT k, avg(f) AS f FROM curve GROUP BY k), o AS (SELECT qid, arg_max(k, (round(f, 12), -k)) AS best_k FROM curve GROUP BY qid)
-SELECT (SELECT arg_max(k, (round(f, 12), -k)) FROM m) AS fixed_k, (SELECT median(best_k) FROM o) AS median_k, (SELECT max(best_k) FROM o) AS max_k""")
-def l10(spark, d):
-    c = curve(spark, d)
-    m = c.groupBy("k").agg(F.avg("f").alias("f")).agg(F.max_by("k", F.struct(F.round("f", 12), -F.col("k"))).alias("fixed_k"))
-    o = c.groupBy("qid").agg(F.max_by("k", F.struct(F.round("f", 12), -F.col("k"))).alias("k")).agg(F.median("k").alias("median_k"), F.max("k").alias("max_k"))
-    return m.join(F.broadcast(o))
-
-
 @query("L11_run_log", """SELECT count(*) AS total, count(*) FILTER (event_type = 'error') AS failed, round(avg(value), 9) AS mean_ms, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, max(value) AS max_ms FROM events""")
 def l11(spark, d):
     e = table(spark, d, "events")
@@ -282,18 +257,6 @@ def taxonomy(first: Column) -> Column:
             .when(first.isNotNull(), "ranking_loss_top100").otherwise("retrieval_miss"))
 
 
-@query("M02_failure_taxonomy", f"WITH {PER} SELECT qid, {_TAX} AS failure FROM per")
-def m02(spark, d):
-    return per_query(spark, d).select("qid", taxonomy(F.col("first_hit")).alias("failure"))
-
-
-@query("M03_actions", f"""WITH {PER}, t AS (SELECT qid, {_TAX} AS f FROM per)
-SELECT qid, CASE WHEN f = 'success' THEN 'P3' WHEN f = 'retrieval_miss' THEN 'P0' WHEN f = 'ranking_loss_top20' THEN 'P2' ELSE 'P1' END AS priority FROM t""")
-def m03(spark, d):
-    f = taxonomy(F.col("first_hit"))
-    return per_query(spark, d).select("qid", F.when(f == "success", "P3").when(f == "retrieval_miss", "P0").when(f == "ranking_loss_top20", "P2").otherwise("P1").alias("priority"))
-
-
 @query("M04_stage_summary", f"WITH {_BY_SOURCE} SELECT source, count(*) FILTER (tp > 0) AS queries_hit, sum(tp)::BIGINT AS tp, min(best) AS best FROM sq GROUP BY source")
 def m04(spark, d):
     return by_stage(spark, d).groupBy("source").agg(F.count_if(F.col("tp") > 0).alias("queries_hit"), F.sum("tp").alias("tp"), F.min("best").cast("bigint").alias("best"))
@@ -311,13 +274,6 @@ def m05(spark, d):
     return p.select(F.col("l.list").alias("list"), "qid", n.cast("bigint").alias("n"))
 
 
-@query("M06_samples", f"""WITH {HITS}, fp AS (SELECT r.qid, r.rank, r.title, row_number() OVER (PARTITION BY r.qid ORDER BY r.rank) AS n FROM ranked r ANTI JOIN hits h ON h.qid = r.qid AND h.rank = r.rank WHERE r.qid IN (SELECT qid FROM gold))
-SELECT qid, rank, title FROM fp WHERE n <= 5""")
-def m06(spark, d):
-    fp = ranked(spark, d).join(gold(spark, d).select("qid").distinct(), "qid", "left_semi").join(hits(spark, d).select("qid", "rank"), ["qid", "rank"], "left_anti")
-    return place(fp, F.asc("rank"), name="n").where("n <= 5").select("qid", F.col("rank").cast("bigint").alias("rank"), "title")
-
-
 _FAM = f"""{_CURVE}, fm AS (SELECT c.qid, any_value(p.first_hit) AS first_hit, max(c.f) AS oracle, max(c.f) FILTER (c.k = 5) AS fixed FROM curve c JOIN per p USING (qid) GROUP BY c.qid),
 fam AS (SELECT *, CASE WHEN first_hit IS NULL THEN 'retrieval_ceiling' WHEN first_hit > 20 THEN 'deep_ranked_hit' WHEN first_hit > 5 THEN 'mid_ranked_hit' WHEN round(oracle - fixed, 9) <= 0.02 THEN 'already_good' ELSE 'cutoff_mismatch' END AS family FROM fm)"""
 
@@ -331,51 +287,10 @@ def families(spark, d) -> DataFrame:
     return p.withColumn("family", fam)
 
 
-@query("M07_failure_family", f"WITH {_FAM} SELECT qid, family, round(oracle - fixed, 9) AS gap FROM fam")
-def m07(spark, d):
-    return families(spark, d).select("qid", "family", F.round(F.col("oracle") - F.col("fixed"), 9).alias("gap"))
-
-
-@query("M08_family_summary", f"WITH {_FAM} SELECT family, count(*) AS queries, round(sum(oracle - fixed), 9) AS gap, round(count(*) / (SELECT count(*) FROM fam), 9) AS share FROM fam GROUP BY family")
-def m08(spark, d):
-    f = families(spark, d)
-    g = f.groupBy("family").agg(F.count("*").alias("queries"), F.sum(F.col("oracle") - F.col("fixed")).alias("g"))
-    total = F.sum("queries").over(Window.partitionBy())
-    return g.select("family", "queries", F.round("g", 9).alias("gap"), F.round(F.col("queries") / total, 9).alias("share"))
-
-
 _PAIRS = f"""{_REL}, b AS (SELECT t.qid, t.rank AS tp_rank, avg(CASE WHEN coalesce(rt.nsrc, 0) > coalesce(rb.nsrc, 0) THEN 1.0 WHEN coalesce(rt.nsrc, 0) = coalesce(rb.nsrc, 0) THEN 0.5 ELSE 0.0 END) AS win, count(*) AS blockers
   FROM rel t JOIN rel x ON x.qid = t.qid AND x.rank < t.rank AND x.rel = 0 JOIN ranked rt ON rt.qid = t.qid AND rt.rank = t.rank JOIN ranked rb ON rb.qid = x.qid AND rb.rank = x.rank WHERE t.rel = 1 GROUP BY t.qid, t.rank)"""
 
 
-@query("M10_pairwise_wins", f"WITH {_PAIRS} SELECT qid, tp_rank, blockers, round(win, 9) AS win FROM b")
-def m10(spark, d):
-    """Win rate of a hit over the misses above it, from counts per value of the feature: no pair is made."""
-    r = labelled(spark, d).withColumn("v", F.coalesce("nsrc", F.lit(0)))
-    above = Window.partitionBy("qid").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    miss = F.when(F.col("rel") == 0, F.col("v"))
-    seen = r.withColumn("vs", F.collect_list(miss).over(above)).where("rel = 1 and size(vs) > 0")
-    score = F.aggregate("vs", F.lit(0.0), lambda s, x: s + F.when(F.col("v") > x, 1.0).when(F.col("v") == x, 0.5).otherwise(0.0))
-    return seen.select("qid", F.col("rank").cast("bigint").alias("tp_rank"), F.size("vs").cast("bigint").alias("blockers"), F.round(score / F.size("vs"), 9).alias("win"))
-
-
-@query("M09_first_hit_attribution", f"""WITH {_REL}, f AS (SELECT qid, min(rank) AS at FROM rel WHERE rel = 1 GROUP BY qid)
-SELECT f.qid, f.at, round(any_value(t.score), 9) AS hit_score, round(avg(b.score), 9) AS blocker_score FROM f JOIN ranked t ON t.qid = f.qid AND t.rank = f.at JOIN ranked b ON b.qid = f.qid AND b.rank < f.at GROUP BY f.qid, f.at""")
-def m09(spark, d):
-    r = labelled(spark, d)
-    first = F.min(F.when(F.col("rel") == 1, F.col("rank"))).over(Window.partitionBy("qid"))
-    r = r.withColumn("at", first).where("at > 1 and rank <= at")
-    return r.groupBy("qid", F.col("at").cast("bigint").alias("at")).agg(
-        F.round(F.max(F.when(F.col("rank") == F.col("at"), F.col("score"))), 9).alias("hit_score"), F.round(F.avg(F.when(F.col("rank") < F.col("at"), F.col("score"))), 9).alias("blocker_score"))
-
-
-@query("M11_single_feature_order", f"""WITH {_REL}, o AS (SELECT r.qid, x.rel, row_number() OVER (PARTITION BY r.qid ORDER BY coalesce(r.nsrc, 0) DESC, r.rank) AS n FROM ranked r JOIN rel x ON x.qid = r.qid AND x.rank = r.rank)
-SELECT qid, sum(rel) FILTER (n <= 5)::BIGINT AS at5, coalesce(sum(rel) FILTER (n <= 20), 0)::BIGINT AS at20 FROM o GROUP BY qid""")
-def m11(spark, d):
-    o = place(labelled(spark, d), F.desc(F.coalesce("nsrc", F.lit(0))), F.asc("rank"), name="n")
-    return o.groupBy("qid").agg(F.sum(F.when(F.col("n") <= 5, F.col("rel"))).alias("at5"), F.sum(F.when(F.col("n") <= 20, F.col("rel"))).alias("at20"))
-
-
 @query("M13_missing_concepts", f"""WITH q AS (SELECT qid, min(question) AS question FROM pasa_like_sample WHERE qid IS NOT NULL AND question IS NOT NULL GROUP BY qid), {GOLD},
 qt AS (SELECT DISTINCT qid, unnest(string_split(trim(regexp_replace(lower(question), '[^a-z0-9]+', ' ', 'g')), ' ')) AS t FROM q),
 gt AS (SELECT DISTINCT qid, unnest(string_split(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), ' ')) AS t FROM gold)
@@ -432,26 +347,6 @@ def h08(spark, d):
     return blended(spark, d).where("n <= 10").select("qid", "key", "beta", F.col("n").cast("bigint").alias("n"))
 
 
-@query("N03_beta_selection", f"""WITH {_BLEND}, q AS (SELECT qid, beta, sum(rel) FILTER (n <= 5) AS tp5, sum(rel / log2(n + 1)) FILTER (n <= 10) AS dcg FROM br GROUP BY ALL),
-m AS (SELECT beta, round(avg(2.0 * tp5 / (5 + gold_count)), 9) AS f1_5, round(avg(dcg), 9) AS dcg FROM q JOIN gn USING (qid) GROUP BY beta)
-SELECT beta, f1_5, dcg, row_number() OVER (ORDER BY f1_5 DESC, dcg DESC, beta) AS place FROM m""")
-def n03(spark, d):
-    g = gold(spark, d).groupBy("qid").agg(F.count("*").alias("gold_count"))
-    q = blended(spark, d).groupBy("qid", "beta").agg(
-        F.sum(F.when(F.col("n") <= 5, F.col("rel"))).alias("tp5"), F.sum(F.when(F.col("n") <= 10, F.col("rel") / F.log2(F.col("n") + 1))).alias("dcg"))
-    m = q.join(g, "qid").groupBy("beta").agg(F.round(F.avg(2.0 * F.col("tp5") / (5 + F.col("gold_count"))), 9).alias("f1_5"), F.round(F.avg("dcg"), 9).alias("dcg"))
-    return m.withColumn("place", F.row_number().over(Window.orderBy(F.desc("f1_5"), F.desc("dcg"), F.asc("beta"))).cast("bigint"))
-
-
-@query("N04_protection_checks", f"""WITH {_BLEND}, q AS (SELECT beta, qid, sum(rel) FILTER (n <= 100) AS tp, count(*) AS items FROM br GROUP BY ALL), z AS (SELECT qid, tp AS tp0, items AS items0 FROM q WHERE beta = 0)
-SELECT beta, bool_and(items = items0) AS same_items, bool_and(coalesce(tp, 0) >= coalesce(tp0, 0)) AS keeps_tp FROM q JOIN z USING (qid) GROUP BY beta""")
-def n04(spark, d):
-    q = blended(spark, d).groupBy("beta", "qid").agg(F.sum(F.when(F.col("n") <= 100, F.col("rel"))).alias("tp"), F.count("*").alias("items"))
-    z = q.where("beta = 0").select("qid", F.col("tp").alias("tp0"), F.col("items").alias("items0"))
-    ok = F.coalesce("tp", F.lit(0)) >= F.coalesce("tp0", F.lit(0))
-    return q.join(z, "qid").groupBy("beta").agg(F.bool_and(F.col("items") == F.col("items0")).alias("same_items"), F.bool_and(ok).alias("keeps_tp"))
-
-
 _FEAT = f"""{RANKED}, q AS (SELECT qid, min(question) AS question FROM predictions WHERE question IS NOT NULL GROUP BY qid),
 ft AS (SELECT r.qid, count(*) AS candidates, coalesce(max(score) FILTER (rank = 1), 0) AS top1, coalesce(avg(coalesce(score, 0)) FILTER (rank <= 3), 0) AS top3, coalesce(avg(coalesce(score, 0)) FILTER (rank <= 10), 0) AS top10,
   coalesce(stddev_pop(coalesce(score, 0)) FILTER (rank <= 10), 0) AS std10, CASE WHEN count(*) >= 5 THEN coalesce(max(score) FILTER (rank = 1), 0) - coalesce(max(score) FILTER (rank = 5), 0) ELSE 0 END AS gap15,
@@ -475,11 +370,6 @@ def cutoff_features(spark, d) -> DataFrame:
 _R9 = ", ".join(f"round({c}, 9) AS {c}" for c in FEATURES[1:7])
 
 
-@query("I09_cutoff_features", f"WITH {_FEAT} SELECT qid, candidates, {_R9}, chars FROM ft")
-def i09(spark, d):
-    return cutoff_features(spark, d).select("qid", "candidates", *(rnd(c) for c in FEATURES[1:7]), F.col("chars").cast("bigint").alias("chars"))
-
-
 _UNP = " UNION ALL ".join(f"SELECT qid, '{c}' AS feature, {c}::DOUBLE AS v FROM ft" for c in FEATURES)
 _SCALE = f"""{_FEAT}, u AS ({_UNP}), md AS (SELECT feature, median(v) AS med FROM u GROUP BY feature),
 sc AS (SELECT feature, any_value(med) AS med, CASE WHEN median(abs(v - med)) > 1e-9 THEN median(abs(v - med)) ELSE 1.0 END AS scale FROM u JOIN md USING (feature) GROUP BY feature)"""
@@ -493,11 +383,6 @@ def scaled(spark, d) -> tuple[DataFrame, DataFrame]:
     return dev, mad.select("feature", "med", F.when(F.col("mad") > 1e-9, F.col("mad")).otherwise(1.0).alias("scale"))
 
 
-@query("I10_robust_scaler", f"WITH {_SCALE} SELECT feature, round(med, 9) AS med, round(scale, 9) AS scale FROM sc")
-def i10(spark, d):
-    return scaled(spark, d)[1].select("feature", rnd("med"), rnd("scale"))
-
-
 def nearest(z: DataFrame, train: DataFrame, n: int = 7, block: int = 4_000) -> DataFrame:
     """(qid, near): the n nearest (d, k) of ``train`` (qid, z, k) by root mean square distance, itself left out.
 
@@ -531,23 +416,6 @@ def nearest(z: DataFrame, train: DataFrame, n: int = 7, block: int = 4_000) -> D
     return best.groupBy("qid").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "k"))), 1, n).alias("near"))
 
 
-@query("I11_neighbour_cutoff")
-def i11(spark, d):
-    """Cut-off of a query from the seven nearest of all queries that have gold, weights 1 / (distance + 0.25).
-
-    Targets are the best of every K. Vectors meet in blocks; the best seven of each block are merged.
-    """
-    dev, sc = scaled(spark, d)
-    z = dev.select("qid", "feature", "v").join(F.broadcast(sc), "feature").groupBy("qid").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("feature", ((F.col("v") - F.col("med")) / F.col("scale")).alias("z")))), lambda x: x["z"]).alias("z"))
-    train = z.join(oracle(spark, d).select("qid", F.col("best_k").alias("k")), "qid")
-    x = nearest(z, train)
-    total = lambda f: F.aggregate("near", F.lit(0.0), f)
-    k = total(lambda s, n: s + n["k"] / (n["d"] + 0.25)) / total(lambda s, n: s + 1 / (n["d"] + 0.25))
-    snapped = F.array_min(F.transform(F.array(*map(F.lit, GRID)), lambda g: F.struct(F.abs(g - F.col("kk")).alias("d"), g.alias("k"))))["k"]
-    return x.withColumn("kk", k).select("qid", F.round("kk", 9).alias("weighted_k"), snapped.alias("k"))
-
-
 @query("C01_dataset_profile", """SELECT count(*) AS rows, count(qid) AS qids, count(DISTINCT question) AS questions, quantile_disc(len(question), 0.9) AS p90_chars, median(len(question)) AS median_chars,
   count(*) FILTER (regexp_full_match(source_meta.published_time, '\\d{8}')) AS compact_dates FROM pasa_like_sample""")
 def c01(spark, d):
@@ -563,13 +431,6 @@ def q01(spark, d):
     return by_stage(spark, d).groupBy("qid").pivot("source", ["semantic_scholar", "openalex", "arxiv"]).agg(F.sum("tp"))
 
 
-@query("Q09_metric_bundle", f"""WITH {_CURVE} SELECT round(avg(f) FILTER (k = 5), 9) AS f1_5, round(avg(f) FILTER (k = 20), 9) AS f1_20, sum(tp) FILTER (k = 100)::BIGINT AS tp_100, count(*) FILTER (k = 100 AND tp = 0) AS zero FROM curve""")
-def q09(spark, d):
-    at = lambda k, c: F.when(F.col("k") == k, c)
-    return curve(spark, d).agg(F.round(F.avg(at(5, F.col("f"))), 9).alias("f1_5"), F.round(F.avg(at(20, F.col("f"))), 9).alias("f1_20"),
-                               F.sum(at(100, F.col("tp"))).cast("bigint").alias("tp_100"), F.count_if((F.col("k") == 100) & (F.col("tp") == 0)).alias("zero"))
-
-
 @query("D08_greedy_match")
 def d08(spark, d):
     """Two-phase greedy 1:1 matching in rank order: shared identifiers first, then equal titles without conflict.

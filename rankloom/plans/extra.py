@@ -55,27 +55,9 @@ def d14(spark, d):
 _GEN = "[" + ", ".join(repr(g) for g in GENERIC) + "]"
 
 
-@query("M14_recovery_rollup", f"""WITH {PER} SELECT CASE WHEN tp = 0 THEN 'none' WHEN first_hit <= 5 THEN 'early' ELSE 'late' END AS family, count(*) AS queries, sum(fn)::BIGINT AS open FROM per GROUP BY ROLLUP (CASE WHEN tp = 0 THEN 'none' WHEN first_hit <= 5 THEN 'early' ELSE 'late' END)""")
-def m14(spark, d):
-    fam = F.when(F.col("tp") == 0, "none").when(F.col("first_hit") <= 5, "early").otherwise("late")
-    return per_query(spark, d).withColumn("family", fam).rollup("family").agg(F.count("*").alias("queries"), F.sum("fn").alias("open"))
-
-
 _FOLD = "CAST(('0x' || substr(sha256('13:' || qid), 1, 12)) AS BIGINT) % 5"
 
 
-@query("N06_out_of_fold_k", f"""WITH {_CURVE}, c AS (SELECT *, {_FOLD} AS fold FROM curve), t AS (SELECT f.fold, c.k, avg(c.f) AS mean FROM (SELECT DISTINCT fold FROM c) f JOIN c ON c.fold <> f.fold GROUP BY f.fold, c.k),
-b AS (SELECT fold, arg_max(k, (round(mean, 12), -k)) AS k FROM t GROUP BY fold) SELECT c.qid, b.k, round(c.f, 9) AS f1 FROM c JOIN b ON b.fold = c.fold AND b.k = c.k""")
-def n06(spark, d):
-    """Best cut-off of the other folds applied to each query: no query chooses its own."""
-    seed = F.conv(F.substring(F.sha2(F.concat(F.lit("13:"), F.col("qid")), 256), 1, 12), 16, 10).cast("bigint") % 5
-    c = curve(spark, d).withColumn("fold", seed)
-    per = c.groupBy("fold", "k").agg(F.sum("f").alias("s"), F.count("*").alias("n"))
-    rest = per.join(per.select(F.col("fold").alias("held")).distinct()).where("fold <> held").groupBy("held", "k").agg((F.sum("s") / F.sum("n")).alias("mean"))
-    best = rest.groupBy("held").agg(F.max_by("k", F.struct(F.round("mean", 12), -F.col("k"))).alias("k"))
-    return c.join(F.broadcast(best.withColumnRenamed("held", "fold")), ["fold", "k"]).select("qid", "k", F.round("f", 9).alias("f1"))
-
-
 @query("Q02_plan_targets", f"WITH {PER} SELECT per.qid, q.question FROM per JOIN (SELECT qid, min(question) AS question FROM predictions WHERE question IS NOT NULL GROUP BY qid) q USING (qid) WHERE tp = 0")
 def q02(spark, d):
     return per_query(spark, d).where("tp = 0").select("qid").join(by_qid(spark, d), "qid")

@@ -40,7 +40,7 @@ _ANCHOR_RULES: list[tuple[str, str, int, str, float]] = (
     + [(p, "comparison", 0, v, 0.96) for p, v in L.COMPARISON]
     + [(TITLED, "paper_title", 1, "", 0.98)]
 )
-ANCHORS = "row_id long, begin_at int, end_at int, kind string, text string, key string, value string, years array<int>, confidence double"
+ANCHORS = "row_id {}, begin_at int, end_at int, kind string, text string, key string, value string, years array<int>, confidence double"
 
 
 def spans_of(question: str) -> list[tuple[int, int, str, str, str, str, list[int], float]]:
@@ -79,13 +79,15 @@ def anchors(asked: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        types = [pa.int64(), pa.int32(), pa.int32(), *[pa.string()] * 4, pa.list_(pa.int32()), pa.float64()]
+        types = [pa.int32(), pa.int32(), *[pa.string()] * 4, pa.list_(pa.int32()), pa.float64()]
         for b in batches:
-            out = [(r, *x) for r, q in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for x in spans_of(q)]
-            columns = list(zip(*out)) or [()] * 9
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], [c.split()[0] for c in ANCHORS.split(", ")])
+            found = [(i, *x) for i, q in enumerate(b.column(1).to_pylist()) for x in spans_of(q)]
+            rows, *columns = list(zip(*found)) or [()] * 9
+            arrays = [b.column(0).take(pa.array(list(rows), pa.int32())), *(pa.array(list(c), t) for c, t in zip(columns, types))]
+            yield pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in ANCHORS.split(", ")])
 
-    return asked.select("row_id", _squeeze(F.col("question")).alias("question")).mapInArrow(run, ANCHORS)
+    q = asked.select("row_id", _squeeze(F.col("question")).alias("question"))
+    return q.mapInArrow(run, ANCHORS.format(asked.schema["row_id"].dataType.simpleString()))
 
 
 @query("E12_anchor_spans")
