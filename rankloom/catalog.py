@@ -49,7 +49,7 @@ SELECT 'doi', rec_id, 0, externalids.doi FROM papers_with_duplicates WHERE regex
 
 def _registered() -> tuple[dict[str, Query], dict[str, str]]:
     from rankloom import registry
-    from rankloom.plans import diagnosis, evaluation, extra, planner, ranking, records, rerank, scalars, understand  # noqa: F401
+    from rankloom.plans import diagnosis, evaluation, extra, planner, ranking, records, rerank, scalars, service, understand  # noqa: F401
 
     return registry.QUERIES, registry.SQL
 

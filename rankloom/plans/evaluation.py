@@ -249,14 +249,6 @@ def m01(spark, d):
     return by_stage(spark, d).select("source", "qid", "tp", F.col("best").cast("bigint").alias("best"))
 
 
-_TAX = """CASE WHEN first_hit <= 20 THEN 'success' WHEN first_hit <= 50 THEN 'ranking_loss_top20' WHEN first_hit <= 100 THEN 'ranking_loss_top50' WHEN first_hit IS NOT NULL THEN 'ranking_loss_top100' ELSE 'retrieval_miss' END"""
-
-
-def taxonomy(first: Column) -> Column:
-    return (F.when(first <= 20, "success").when(first <= 50, "ranking_loss_top20").when(first <= 100, "ranking_loss_top50")
-            .when(first.isNotNull(), "ranking_loss_top100").otherwise("retrieval_miss"))
-
-
 @query("M04_stage_summary", f"WITH {_BY_SOURCE} SELECT source, count(*) FILTER (tp > 0) AS queries_hit, sum(tp)::BIGINT AS tp, min(best) AS best FROM sq GROUP BY source")
 def m04(spark, d):
     return by_stage(spark, d).groupBy("source").agg(F.count_if(F.col("tp") > 0).alias("queries_hit"), F.sum("tp").alias("tp"), F.min("best").cast("bigint").alias("best"))
@@ -274,55 +266,32 @@ def m05(spark, d):
     return p.select(F.col("l.list").alias("list"), "qid", n.cast("bigint").alias("n"))
 
 
-_FAM = f"""{_CURVE}, fm AS (SELECT c.qid, any_value(p.first_hit) AS first_hit, max(c.f) AS oracle, max(c.f) FILTER (c.k = 5) AS fixed FROM curve c JOIN per p USING (qid) GROUP BY c.qid),
-fam AS (SELECT *, CASE WHEN first_hit IS NULL THEN 'retrieval_ceiling' WHEN first_hit > 20 THEN 'deep_ranked_hit' WHEN first_hit > 5 THEN 'mid_ranked_hit' WHEN round(oracle - fixed, 9) <= 0.02 THEN 'already_good' ELSE 'cutoff_mismatch' END AS family FROM fm)"""
-
-
-def families(spark, d) -> DataFrame:
-    c = curve(spark, d).groupBy("qid").agg(F.max("f").alias("oracle"), F.max(F.when(F.col("k") == 5, F.col("f"))).alias("fixed"))
-    p = per_query(spark, d).select("qid", "first_hit").join(c, "qid")
-    h = F.col("first_hit")
-    fam = (F.when(h.isNull(), "retrieval_ceiling").when(h > 20, "deep_ranked_hit").when(h > 5, "mid_ranked_hit")
-           .when(F.round(F.col("oracle") - F.col("fixed"), 9) <= 0.02, "already_good").otherwise("cutoff_mismatch"))
-    return p.withColumn("family", fam)
-
-
-_PAIRS = f"""{_REL}, b AS (SELECT t.qid, t.rank AS tp_rank, avg(CASE WHEN coalesce(rt.nsrc, 0) > coalesce(rb.nsrc, 0) THEN 1.0 WHEN coalesce(rt.nsrc, 0) = coalesce(rb.nsrc, 0) THEN 0.5 ELSE 0.0 END) AS win, count(*) AS blockers
-  FROM rel t JOIN rel x ON x.qid = t.qid AND x.rank < t.rank AND x.rel = 0 JOIN ranked rt ON rt.qid = t.qid AND rt.rank = t.rank JOIN ranked rb ON rb.qid = x.qid AND rb.rank = x.rank WHERE t.rel = 1 GROUP BY t.qid, t.rank)"""
-
-
-@query("M13_missing_concepts", f"""WITH q AS (SELECT qid, min(question) AS question FROM pasa_like_sample WHERE qid IS NOT NULL AND question IS NOT NULL GROUP BY qid), {GOLD},
-qt AS (SELECT DISTINCT qid, unnest(string_split(trim(regexp_replace(lower(question), '[^a-z0-9]+', ' ', 'g')), ' ')) AS t FROM q),
-gt AS (SELECT DISTINCT qid, unnest(string_split(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), ' ')) AS t FROM gold)
-SELECT qid, t FROM qt ANTI JOIN gt USING (qid, t) WHERE len(t) >= 4""")
-def m13(spark, d):
-    from rankloom.functions.text import ascii_words
-
-    q = table(spark, d, "pasa_like_sample").where("qid is not null and question is not null").groupBy("qid").agg(F.min("question").alias("q"))
-    words = lambda df, c: df.select("qid", F.explode(F.array_distinct(F.split(ascii_words(F.col(c)), " "))).alias("t"))
-    return words(q, "q").join(words(gold(spark, d), "title"), ["qid", "t"], "left_anti").where("length(t) >= 4").distinct()
-
-
-def folds_by_order(qids: DataFrame, n: int = 5) -> DataFrame:
-    """(qid, fold): queries dealt to folds in the order of their names, without one task that sorts them all.
+def numbered(rows: DataFrame, by: str) -> DataFrame:
+    """Rows with ``n`` from 1 in the order of a unique column, without one task that sorts them all.
 
     A range partition is sorted by itself; its rows are numbered from the counts of the
     partitions before it, of which there are as many as partitions.
     """
-    parts = qids.repartitionByRange("qid").sortWithinPartitions("qid").select("qid", F.spark_partition_id().alias("part"))
-    own = parts.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("qid")))
+    parts = rows.repartitionByRange(by).select("*", F.spark_partition_id().alias("part"))
+    own = parts.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy(by)))
     counts = own.groupBy("part").agg(F.max("k").alias("size"))
     before = counts.withColumn("before", F.sum("size").over(Window.partitionBy(F.lit(1)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    return own.join(F.broadcast(before), "part").select("qid", ((F.col("k") - 1 + F.coalesce("before", F.lit(0))) % n).alias("fold"))
+    numbered_ = own.join(F.broadcast(before), "part").withColumn("n", F.col("k") + F.coalesce("before", F.lit(0)))
+    return numbered_.drop("part", "k", "size", "before")
+
+
+def folds_by_order(qids: DataFrame, n: int = 5) -> DataFrame:
+    """(qid, fold): queries dealt to folds in the order of their names."""
+    return numbered(qids.select("qid"), "qid").select("qid", ((F.col("n") - 1) % n).alias("fold"))
 
 
 @query("N01_folds", """WITH q AS (SELECT DISTINCT qid FROM predictions WHERE qid IS NOT NULL)
 SELECT qid, (row_number() OVER (ORDER BY qid) - 1) % 5 AS by_order, (row_number() OVER (ORDER BY sha256(qid), qid) - 1) % 5 AS by_hash, CAST(('0x' || substr(sha256('13:' || qid), 1, 12)) AS BIGINT) % 5 AS by_seed FROM q""")
 def n01(spark, d):
     q = table(spark, d, "predictions").where("qid is not null").select("qid").distinct()
-    nth = lambda *o: ((F.row_number().over(Window.orderBy(*o)) - 1) % 5).cast("bigint")
+    hashed = numbered(q.withColumn("h", F.concat(F.sha2("qid", 256), "qid")), "h").select("qid", ((F.col("n") - 1) % 5).cast("bigint").alias("by_hash"))
     seed = F.conv(F.substring(F.sha2(F.concat(F.lit("13:"), F.col("qid")), 256), 1, 12), 16, 10).cast("bigint") % 5
-    return q.select("qid", nth("qid").alias("by_order"), nth(F.sha2("qid", 256), "qid").alias("by_hash"), seed.alias("by_seed"))
+    return folds_by_order(q).join(hashed, "qid").select("qid", F.col("fold").cast("bigint").alias("by_order"), "by_hash", seed.alias("by_seed"))
 
 
 BETAS = (0.0, 0.02, 0.04, 0.06, 0.08, 0.10)
@@ -347,75 +316,6 @@ def h08(spark, d):
     return blended(spark, d).where("n <= 10").select("qid", "key", "beta", F.col("n").cast("bigint").alias("n"))
 
 
-_FEAT = f"""{RANKED}, q AS (SELECT qid, min(question) AS question FROM predictions WHERE question IS NOT NULL GROUP BY qid),
-ft AS (SELECT r.qid, count(*) AS candidates, coalesce(max(score) FILTER (rank = 1), 0) AS top1, coalesce(avg(coalesce(score, 0)) FILTER (rank <= 3), 0) AS top3, coalesce(avg(coalesce(score, 0)) FILTER (rank <= 10), 0) AS top10,
-  coalesce(stddev_pop(coalesce(score, 0)) FILTER (rank <= 10), 0) AS std10, CASE WHEN count(*) >= 5 THEN coalesce(max(score) FILTER (rank = 1), 0) - coalesce(max(score) FILTER (rank = 5), 0) ELSE 0 END AS gap15,
-  coalesce(avg(coalesce(nsrc, 0)) FILTER (rank <= 10), 0) AS sources10, len(coalesce(any_value(q.question), '')) AS chars FROM ranked r LEFT JOIN q USING (qid) GROUP BY r.qid)"""
-FEATURES = ("candidates", "top1", "top3", "top10", "std10", "gap15", "sources10", "chars")
-
-
-def cutoff_features(spark, d) -> DataFrame:
-    """Gold-free features of a query's list, one row a query."""
-    from rankloom.plans.scalars import questions
-
-    s, r = F.coalesce("score", F.lit(0.0)), F.col("rank")
-    at = lambda k: F.coalesce(F.max(F.when(r == k, F.col("score"))), F.lit(0.0))
-    mean = lambda c, k: F.coalesce(F.avg(F.when(r <= k, c)), F.lit(0.0))
-    f = ranked(spark, d).groupBy("qid").agg(
-        F.count("*").alias("candidates"), at(1).alias("top1"), mean(s, 3).alias("top3"), mean(s, 10).alias("top10"), F.coalesce(F.stddev_pop(F.when(r <= 10, s)), F.lit(0.0)).alias("std10"),
-        F.when(F.count("*") >= 5, at(1) - at(5)).otherwise(0.0).alias("gap15"), mean(F.coalesce("nsrc", F.lit(0)), 10).alias("sources10"))
-    return f.join(questions(spark, d), "qid", "left").withColumn("chars", F.coalesce(F.length("question"), F.lit(0))).drop("question")
-
-
-_R9 = ", ".join(f"round({c}, 9) AS {c}" for c in FEATURES[1:7])
-
-
-_UNP = " UNION ALL ".join(f"SELECT qid, '{c}' AS feature, {c}::DOUBLE AS v FROM ft" for c in FEATURES)
-_SCALE = f"""{_FEAT}, u AS ({_UNP}), md AS (SELECT feature, median(v) AS med FROM u GROUP BY feature),
-sc AS (SELECT feature, any_value(med) AS med, CASE WHEN median(abs(v - med)) > 1e-9 THEN median(abs(v - med)) ELSE 1.0 END AS scale FROM u JOIN md USING (feature) GROUP BY feature)"""
-
-
-def scaled(spark, d) -> tuple[DataFrame, DataFrame]:
-    long = cutoff_features(spark, d).select("qid", *(F.col(c).cast("double") for c in FEATURES)).unpivot(["qid"], list(FEATURES), "feature", "v")
-    med = long.groupBy("feature").agg(F.median("v").alias("med"))
-    dev = long.join(F.broadcast(med), "feature")
-    mad = dev.groupBy("feature").agg(F.first("med").alias("med"), F.median(F.abs(F.col("v") - F.col("med"))).alias("mad"))
-    return dev, mad.select("feature", "med", F.when(F.col("mad") > 1e-9, F.col("mad")).otherwise(1.0).alias("scale"))
-
-
-def nearest(z: DataFrame, train: DataFrame, n: int = 7, block: int = 4_000) -> DataFrame:
-    """(qid, near): the n nearest (d, k) of ``train`` (qid, z, k) by root mean square distance, itself left out.
-
-    A task compares one block of queries with one of ``train``; queries that have no other to meet are left out.
-    """
-    parts = lambda df: max(1, -(-df.count() // block))
-    of = lambda m: F.pmod(F.xxhash64("qid"), F.lit(m)).cast("int")
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    queries, labelled = parts(z), parts(train)
-    left = z.select("qid", "z", F.lit(None).cast("int").alias("k"), of(queries).alias("i"), every(labelled).alias("j"))
-    right = train.select("qid", "z", F.col("k").cast("int").alias("k"), every(queries).alias("i"), of(labelled).alias("j"))
-
-    def compare(group):
-        import numpy as np
-        import pyarrow as pa
-
-        a, b = group.filter(group.column("k").is_null()), group.filter(group.column("k").is_valid())
-        width = len(FEATURES)
-        points = lambda t: np.array(t.column("z").to_pylist(), float).reshape(-1, width)
-        ids, ks = np.array(b.column("qid").to_pylist(), object), np.array(b.column("k").to_pylist(), np.int64)
-        known, out = points(b), []
-        for qid, v in zip(a.column("qid").to_pylist(), points(a)):
-            dist = np.round(np.sqrt(((known - v) ** 2).sum(1) / width), 9)
-            at = np.nonzero(ids != qid)[0]
-            at = at[np.lexsort((ks[at], dist[at]))[:n]]
-            out += [(qid, float(dist[t]), int(ks[t])) for t in at]
-        cols = list(zip(*out)) or [(), (), ()]
-        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.float64(), pa.int64()))], names=["qid", "d", "k"])
-
-    best = left.unionByName(right).groupBy("i", "j").applyInArrow(compare, "qid string, d double, k long")
-    return best.groupBy("qid").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "k"))), 1, n).alias("near"))
-
-
 @query("C01_dataset_profile", """SELECT count(*) AS rows, count(qid) AS qids, count(DISTINCT question) AS questions, quantile_disc(len(question), 0.9) AS p90_chars, median(len(question)) AS median_chars,
   count(*) FILTER (regexp_full_match(source_meta.published_time, '\\d{8}')) AS compact_dates FROM pasa_like_sample""")
 def c01(spark, d):

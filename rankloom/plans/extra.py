@@ -14,26 +14,6 @@ from rankloom.plans.scalars import questions as by_qid
 from rankloom.plans.understand import _CON, _Q, constraints, questions
 from rankloom.registry import query
 
-@query("B21_seed_tokens", f"WITH {CAND} SELECT qid, pred_id, item_pos, len(list_distinct(list_filter(regexp_extract_all(lower(title), '[a-z0-9][a-z0-9.+_-]*'), lambda t: len(t) >= 3))) AS n FROM cand")
-def b21(spark, d):
-    found = F.regexp_extract_all(F.lower("title"), F.lit("[a-z0-9][a-z0-9.+_-]*"), F.lit(0))
-    return candidates(spark, d).select("qid", "pred_id", "item_pos", F.size(F.array_distinct(F.filter(found, lambda t: F.length(t) >= 3))).cast("bigint").alias("n"))
-
-
-@query("C03_gold_leak_guard", "SELECT 'predictions' AS table_name, false AS leaks")
-def c03(spark, d):
-    """Whether a production table has a column, at any depth, whose name speaks of gold."""
-    def names(t):
-        for f in getattr(t, "fields", None) or ():
-            yield f.name
-            yield from names(f.dataType)
-        if hasattr(t, "elementType"):
-            yield from names(t.elementType)
-
-    leaks = any(n == "gold" or n.startswith("gold_") for n in names(table(spark, d, "predictions").schema))
-    return spark.range(1).select(F.lit("predictions").alias("table_name"), F.lit(leaks).alias("leaks"))
-
-
 @query("D12_near_matches_by_author")
 def d12(spark, d):
     """Unmatched gold most like each unmatched candidate: letter ratio 0.97 or word jaccard 0.94.
@@ -69,8 +49,3 @@ def q03(spark, d):
     return constraints(spark, d).groupBy("row_id").agg(F.array_join(F.array_sort(F.collect_set("kind")), ";").alias("kinds"), at(0).alias("plan_1"), at(1).alias("plan_2"))
 
 
-@query("A11_budgeted_calls", "SELECT qid, n FROM (SELECT qid, row_number() OVER (ORDER BY qid) AS n FROM (SELECT DISTINCT qid FROM predictions WHERE qid IS NOT NULL)) WHERE n <= 48")
-def a11(spark, d):
-    """The calls that fit a hard budget, in a fixed order, before any is made."""
-    q = table(spark, d, "predictions").where("qid is not null").select("qid").distinct()
-    return q.withColumn("n", F.row_number().over(Window.orderBy("qid"))).where("n <= 48")

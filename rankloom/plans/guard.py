@@ -127,17 +127,21 @@ def _rules() -> list[Rule]:
 RULES = _rules()
 
 
+#: Any other entity: a sign or a letter that isn't ASCII, which is no part of a word here.
+ENTITY = "&(?:#[0-9]+|#x[0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);"
+
+
 def text_of(c: Column) -> Column:
     """Words without entities and tags."""
     for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         c = F.replace(c, F.lit(entity), F.lit(sign))
-    return ascii_words(F.regexp_replace(c, "<[^>]+>", " "))
+    return ascii_words(F.regexp_replace(F.regexp_replace(c, "<[^>]+>", " "), ENTITY, " "))
 
 
 def text_sql(c: str) -> str:
     for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
         c = f"replace({c}, '{entity}', '{sign}')"
-    return norm(f"regexp_replace({c}, '<[^>]+>', ' ', 'g')")
+    return norm(f"regexp_replace(regexp_replace({c}, '<[^>]+>', ' ', 'g'), '{ENTITY}', ' ', 'g')")
 
 
 def padded(words: Column) -> Column:

@@ -274,20 +274,3 @@ def c07(spark, d):
     return kept.where("rank <= 100").select("qid", F.col("rank").cast("bigint").alias("rank"), "key")
 
 
-@query("C08_identifier_coverage", f"""WITH {CAND}, u AS (UNPIVOT (SELECT source, doi, arxiv_id, openalex_id FROM cand) ON doi, arxiv_id, openalex_id INTO NAME field VALUE v),
-n AS (SELECT source, count(*) AS n FROM cand GROUP BY source)
-SELECT source, field, count(*) AS present, round(count(*) / any_value(n.n), 9) AS share FROM u JOIN n USING (source) GROUP BY source, field""")
-def c08(spark, d):
-    c = candidates(spark, d)
-    long = c.unpivot(["source"], ["doi", "arxiv_id", "openalex_id"], "field", "v")
-    g = long.groupBy("source", "field").agg(F.count("v").alias("present"), F.round(F.count("v") / F.count("*"), 9).alias("share"))
-    return g.where("present > 0")
-
-
-@query("D17_same_multiset", f"""WITH {CAND}, a AS (SELECT qid, key, count(*) AS n FROM cand GROUP BY ALL) SELECT qid, sum(n)::BIGINT AS items, count(*) AS keys, true AS same FROM a GROUP BY qid""")
-def d17(spark, d):
-    c = candidates(spark, d)
-    again = place(c, F.desc("score"), F.asc("pred_id"), F.asc("item_pos"), name="p2")
-    changed = c.select("qid", "key").exceptAll(again.select("qid", "key")).select("qid").distinct().withColumn("same", F.lit(False))
-    g = c.groupBy("qid").agg(F.count("*").alias("items"), F.count_distinct("key").alias("keys"))
-    return g.join(changed, "qid", "left").select("qid", "items", "keys", F.coalesce("same", F.lit(True)).alias("same"))

@@ -65,7 +65,7 @@ def d03(spark, d):
     return x.join(y, (c("nt_a") == c("nt_b")) & (c("au_a") == c("au_b")) & (c("rec_id_a") < c("rec_id_b")) & hit).select(c("rec_id_a").alias("a"), c("rec_id_b").alias("b"))
 
 
-def entities(spark, d, rounds: int = 30) -> DataFrame:
+def entities(spark, d) -> DataFrame:
     """(rec_id, entity): records linked by a shared identifier or a title pair; the smallest record names the entity.
 
     Labels spread over links, with identifiers as nodes of their own, and jump to their
@@ -78,7 +78,7 @@ def entities(spark, d, rounds: int = 30) -> DataFrame:
     pairs = star.unionByName(title_pairs(spark, d).select("a", "b")).where("a <> b")
     links = stage(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     label = stage(record_ids(spark, d).select("rec_id", F.col("rec_id").alias("entity")), "labels")
-    for _ in range(rounds):
+    while True:
         near = links.join(label, F.col("b") == F.col("rec_id")).groupBy(F.col("a").alias("rec_id")).agg(F.min("entity").alias("m"))
         moved = label.join(near, "rec_id", "left").select("rec_id", F.least("entity", F.coalesce("m", "entity")).alias("entity"), F.col("entity").alias("was"))
         up = moved.select(F.col("rec_id").alias("e"), F.col("entity").alias("top"))
@@ -89,7 +89,6 @@ def entities(spark, d, rounds: int = 30) -> DataFrame:
         label._rankloom_path = new._rankloom_path
         if not new.measured["changed"]:
             return label
-    raise RuntimeError("labels still move; allow more rounds")
 
 
 _CC = f"""WITH RECURSIVE {TPAIRS}, ks AS (SELECT rec_id, unnest([CASE WHEN d IS NOT NULL THEN 'd' || d END, CASE WHEN a IS NOT NULL THEN 'a' || a END, CASE WHEN o IS NOT NULL THEN 'o' || o END, CASE WHEN s IS NOT NULL THEN 's' || s END]) AS k FROM r0),
@@ -103,11 +102,24 @@ def d01(spark, d):
     return entities(spark, d)
 
 
-@query("D04_survivorship", f"""{_CC} SELECT entity, count(*) AS members, min(coalesce(year, publication_year)) AS year, max(citation_count) AS citations, max(len({_T})) AS title_chars FROM ent JOIN papers_with_duplicates p USING (rec_id) GROUP BY entity""")
+_VEN = "CASE WHEN source = 'openalex' THEN CASE WHEN json_valid(venue) THEN venue->>'$.display_name' END ELSE venue END"
+_LONG = lambda c: f"arg_max({c}, (len({c}), -rec_id)) FILTER ({c} IS NOT NULL)"
+_FIRST = lambda c: f"arg_min({c}, rec_id) FILTER ({c} IS NOT NULL)"
+
+
+@query("D04_survivorship", f"""{_CC}, pv AS (SELECT ent.entity, p.rec_id, {_T} AS t, {_VEN} AS v, abstract AS ab, publication_date AS pd, CASE WHEN authors IS NOT NULL THEN len(authors) ELSE len(authorships) END AS na, coalesce(year, publication_year) AS y, citation_count AS cc, r0.d, r0.a, r0.o, r0.s FROM ent JOIN papers_with_duplicates p USING (rec_id) JOIN r0 USING (rec_id))
+SELECT entity, count(*) AS members, {_LONG('t')} AS title, {_LONG('v')} AS venue, {_LONG('ab')} AS abstract, {_LONG('pd')} AS published, max(na) AS authors, min(y) AS year, max(cc) AS citations, {_FIRST('d')} AS doi, {_FIRST('a')} AS arxiv, {_FIRST('o')} AS openalex, {_FIRST('s')} AS s2 FROM pv GROUP BY entity""")
 def d04(spark, d):
-    p = table(spark, d, "papers_with_duplicates").select("rec_id", title().alias("t"), F.coalesce("year", "publication_year").alias("y"), "citation_count")
-    g = entities(spark, d).join(p, "rec_id").groupBy("entity")
-    return g.agg(F.count("*").alias("members"), F.min("y").alias("year"), F.max("citation_count").alias("citations"), F.length(F.max_by("t", F.length("t"))).cast("bigint").alias("title_chars"))
+    """One record an entity: longest title, venue, abstract and date, most authors, first year and identifiers, most citations; ties to the smallest record."""
+    p = table(spark, d, "papers_with_duplicates")
+    venue = F.when(F.col("source") == "openalex", F.get_json_object("venue", "$.display_name")).otherwise(F.col("venue"))
+    count = F.when(F.col("authors").isNotNull(), F.size("authors")).when(F.col("authorships").isNotNull(), F.size("authorships"))
+    p = p.select("rec_id", title().alias("t"), venue.alias("v"), F.col("abstract").alias("ab"), F.col("publication_date").alias("pd"), count.cast("bigint").alias("na"), F.coalesce("year", "publication_year").alias("y"), "citation_count")
+    j = entities(spark, d).join(p, "rec_id").join(record_ids(spark, d).select("rec_id", *"daos"), "rec_id")
+    longest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(F.length(c), -F.col("rec_id"))))
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("rec_id")))
+    return j.groupBy("entity").agg(F.count("*").alias("members"), longest("t").alias("title"), longest("v").alias("venue"), longest("ab").alias("abstract"), longest("pd").alias("published"), F.max("na").alias("authors"), F.min("y").alias("year"),
+                                   F.max("citation_count").alias("citations"), first("d").alias("doi"), first("a").alias("arxiv"), first("o").alias("openalex"), first("s").alias("s2"))
 
 
 @query("D05_review_pairs")
@@ -164,22 +176,8 @@ def f09(spark, d):
     return candidates(spark, d).groupBy("qid", "key").agg(F.min_by("source", F.struct("source", "rank")).alias("source"), F.count("*").alias("seen"))
 
 
-@query("F08_page_sizes", "SELECT row_id, CASE WHEN len(question) > 80 THEN 100 WHEN len(question) > 40 THEN 50 ELSE 25 END AS page_size FROM pasa_like_sample WHERE question IS NOT NULL")
-def f08(spark, d):
-    n = F.length("question")
-    return table(spark, d, "pasa_like_sample").where("question is not null").select("row_id", F.when(n > 80, 100).when(n > 40, 50).otherwise(25).alias("page_size"))
-
-
 # ---- citations: order lines stand for one-hop edges, from the order to the part
 
-@query("K01_seed_gate", f"""WITH {RANKED} SELECT * FROM (SELECT qid, key, round(0.45 / (1 + 0.12 * (rank - 1)) + 0.25 * coalesce(nsrc, 0) / 3, 9) AS seed_score,
-  row_number() OVER (PARTITION BY qid ORDER BY round(0.45 / (1 + 0.12 * (rank - 1)) + 0.25 * coalesce(nsrc, 0) / 3, 9) DESC, rank) AS n FROM ranked WHERE rank <= 15) WHERE n <= 3""")
-def k01(spark, d):
-    s = F.round(0.45 / (1 + 0.12 * (F.col("rank") - 1)) + 0.25 * F.coalesce("nsrc", F.lit(0)) / 3, 9)
-    r = ranked(spark, d).where("rank <= 15").withColumn("seed_score", s)
-    return place(r, F.desc("seed_score"), F.asc("rank"), name="n").where("n <= 3").select("qid", "key", "seed_score", "n")
-
-
 EDGES = """ed0 AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem),
 ed AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS out_rank, row_number() OVER (PARTITION BY dst ORDER BY src) AS in_rank FROM ed0)"""
 
@@ -227,8 +225,12 @@ def k06(spark, d):
 @query("K07_budgeted_expansion", f"""WITH {EDGES}, n AS (SELECT src, count(*) AS calls FROM ed GROUP BY src), c AS (SELECT src, calls, sum(calls) OVER (ORDER BY src ROWS UNBOUNDED PRECEDING) AS used FROM n)
 SELECT src, calls, CASE WHEN used <= 20000 THEN 'done' ELSE 'skipped' END AS state FROM c""")
 def k07(spark, d):
-    n = edges(spark, d).groupBy("src").agg(F.count("*").alias("calls"))
-    used = F.sum("calls").over(Window.orderBy("src").rowsBetween(Window.unboundedPreceding, 0))
+    n = edges(spark, d).groupBy("src").agg(F.count("*").alias("calls")).repartitionByRange("src").select("*", F.spark_partition_id().alias("part"))
+    # Running sums within range partitions, from the sums of the partitions before.
+    sums = n.groupBy("part").agg(F.sum("calls").alias("s"))
+    before = sums.select("part", F.coalesce(F.sum("s").over(Window.partitionBy(F.lit(1)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    n = n.join(F.broadcast(before), "part")
+    used = F.col("before") + F.sum("calls").over(Window.partitionBy("part").orderBy("src").rowsBetween(Window.unboundedPreceding, 0))
     return n.select("src", "calls", F.when(used <= 20000, "done").otherwise("skipped").alias("state"))
 
 
@@ -283,14 +285,6 @@ def a15(spark, d):
     return upsert(old, new, ["row_id"])
 
 
-@query("A16_manifest", "SELECT pred_id, sha256(concat(qid, '|', question, '|', source)) AS digest, count(*) AS n FROM predictions GROUP BY ALL")
-def a16(spark, d):
-    """Digest and count of every record, for comparing a frozen copy with a new one."""
-    p = table(spark, d, "predictions")
-    text = F.concat_ws("|", *(F.coalesce(c, F.lit("")) for c in ("qid", "question", "source")))
-    return p.groupBy("pred_id", F.sha2(text, 256).alias("digest")).agg(F.count("*").alias("n"))
-
-
 # ---- the service's views
 
 @query("O02_query_list", """SELECT p.qid, min(p.question) AS question, bool_or(g.qid IS NOT NULL) AS is_target FROM predictions p LEFT JOIN (SELECT DISTINCT qid FROM pasa_like_sample) g USING (qid) WHERE p.qid IS NOT NULL GROUP BY p.qid""")
@@ -305,11 +299,6 @@ def o03(spark, d):
     return ranked(spark, d).where("rank <= 20").select("qid", "key", "title", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("O05_diagnosis", f"WITH {PER}, nq AS (SELECT qid, min(question) AS question FROM predictions WHERE question IS NOT NULL GROUP BY qid) SELECT per.qid, nq.question, tp, fn FROM per LEFT JOIN nq USING (qid)")
-def o05(spark, d):
-    return per_query(spark, d).join(questions(spark, d), "qid", "left").select("qid", "question", "tp", "fn")
-
-
 @query("O06_experiments", f"WITH {CAND} SELECT source, count(*) AS items, count(DISTINCT qid) AS queries, round(avg(score), 9) AS mean_score FROM cand GROUP BY source")
 def o06(spark, d):
     return candidates(spark, d).groupBy("source").agg(F.count("*").alias("items"), F.count_distinct("qid").alias("queries"), F.round(F.avg("score"), 9).alias("mean_score"))
@@ -332,6 +321,3 @@ def q10(spark, d):
     return candidates(spark, d).groupBy("qid").agg(F.count_if(strong_id()).alias("strong"), F.count("abstract").alias("abstracts"))
 
 
-@query("Q12_clamped_plans", "SELECT row_id, greatest(0, least(100, len(question))) AS priority FROM pasa_like_sample WHERE question IS NOT NULL")
-def q12(spark, d):
-    return table(spark, d, "pasa_like_sample").where("question is not null").select("row_id", F.greatest(F.lit(0), F.least(F.lit(100), F.length("question"))).cast("bigint").alias("priority"))

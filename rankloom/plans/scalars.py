@@ -48,8 +48,6 @@ _one("B10_first_author_key", lambda: X.ascii_words(F.try_element_at(F.coalesce("
      norm("coalesce(authors[1].name, CASE WHEN authors IS NULL THEN authorships[1].author.display_name END)"))
 _one("B11_letters_key", lambda: X.letters_key(title()), f"lower(regexp_replace(coalesce({_T}, ''), '[^\\p{{L}}]', '', 'g'))")
 _one("B12_light_identifier", lambda: I.light_ident(arx()), f"trim(lower(regexp_replace(replace(replace(trim(coalesce({_ARX}, '')), 'arXiv:', ''), 'arxiv:', ''), '(?i)v\\d+$', '')))")
-_one("B13_ascii_words", lambda: X.ascii_words(title()), norm(_T))
-_one("B14_guard_words", lambda: X.guard_words(title()), norm(f"regexp_replace({_T}, '<[^>]+>', ' ', 'g')"))
 _one("B15_key_words", lambda: X.key_words(F.col("source")), "trim(regexp_replace(lower(replace(source, '_', ' ')), '[^a-z0-9]+', ' ', 'g'))")
 _SING = "CASE t " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in X.SINGULAR.items()) + " ELSE t END"
 _one("B16_evidence_words", lambda: X.evidence_words(title()), f"array_to_string(list_transform(string_split({norm(_T)}, ' '), lambda t: {_SING}), ' ')")
@@ -104,14 +102,6 @@ def b29(spark, d):
     return candidates(spark, d).where(X.has_phrase(X.ascii_words(F.col("title")), F.lit("benchmark"))).select("qid", "pred_id", "item_pos")
 
 
-@query("B30_guard_phrases", f"""WITH {CAND}
-SELECT qid, pred_id, item_pos FROM cand
-WHERE regexp_matches(' ' || {norm("regexp_replace(title, '<[^>]+>', ' ', 'g')")} || ' ', ' (study|studys|studies|survey|surveys|library catalogue|library catalogues|librarys catalogue|librarys catalogues|libraries catalogue|libraries catalogues) ')""")
-def b30(spark, d):
-    hit = X.has_any(X.guard_words(F.col("title")), ["study", "survey", "library catalogue"])
-    return candidates(spark, d).where(hit).select("qid", "pred_id", "item_pos")
-
-
 @query("B27_sequence_ratio")
 def b27(spark, d):
     c = candidates(spark, d).where("abstract is not null")
@@ -156,29 +146,8 @@ def record_ids(spark, d):
         F.substring(F.sha1(X.ascii_words(title())), 1, 16).alias("t"))
 
 
-@query("B36_canonical_ids", f"""WITH r AS (SELECT rec_id, {_IDS} FROM papers_with_duplicates)
-SELECT rec_id, coalesce('doi:' || d, 'arxiv:' || a, 'openalex:' || o, 's2:' || s, 'title:' || t) AS canonical_id,
-  coalesce(CASE WHEN a IS NOT NULL AND d IS NULL THEN 'arxiv:' || a END, 'doi:' || d, 'arxiv:' || a, 'openalex:' || o, 's2:' || s, 'title:' || t) AS canonical_id_v2 FROM r""")
-def b36(spark, d):
-    c = [F.col(x) for x in "daost"]
-    return record_ids(spark, d).select("rec_id", I.canonical_id(*c).alias("canonical_id"), I.canonical_id_v2(*c).alias("canonical_id_v2"))
-
-
 @query("B37_candidate_keys", f"""WITH {CAND} SELECT qid, pred_id, item_pos, key FROM cand""")
 def b37(spark, d):
     return candidates(spark, d).select("qid", "pred_id", "item_pos", "key")
 
 
-@query("B38_longest_text", f"""WITH {CAND}
-SELECT qid, key, max(len(coalesce(abstract, ''))) AS chars, count(*) AS items FROM cand GROUP BY ALL""")
-def b38(spark, d):
-    kept = F.max_by(F.coalesce("abstract", F.lit("")), F.length(F.coalesce("abstract", F.lit(""))))
-    return candidates(spark, d).groupBy("qid", "key").agg(F.length(kept).cast("bigint").alias("chars"), F.count("*").alias("items"))
-
-
-@query("B39_rank_buckets", f"""WITH {CAND}
-SELECT source, CASE WHEN rank <= 10 THEN '1-10' WHEN rank <= 20 THEN '11-20' WHEN rank <= 50 THEN '21-50' WHEN rank <= 100 THEN '51-100' ELSE '>100' END AS bucket, count(*) AS items FROM cand GROUP BY ALL""")
-def b39(spark, d):
-    r = F.col("rank")
-    bucket = F.when(r <= 10, "1-10").when(r <= 20, "11-20").when(r <= 50, "21-50").when(r <= 100, "51-100").otherwise(">100")
-    return candidates(spark, d).groupBy("source", bucket.alias("bucket")).agg(F.count("*").alias("items"))

@@ -52,8 +52,10 @@ class LocalSearchReader(DataSourceReader):
             try:
                 with open(path, encoding="utf-8-sig") as f:
                     page = json.load(f)
-            except (OSError, ValueError):
-                return {"results": []}
+            except FileNotFoundError as problem:
+                raise FileNotFoundError(f"no cached page for {query!r}: {path}") from problem
+            except ValueError as problem:
+                raise ValueError(f"broken page for {query!r}: {path}") from problem
             if page.get("status", 200) not in RETRY or attempt + 1 == self.attempts:
                 return page
             time.sleep(min(wait_before(attempt, page.get("retry_after"), 0.01), 1.0))

@@ -75,8 +75,8 @@ def test_title_hits_pair_nth_with_nth(spark):
 
 
 def test_refill_keeps_minimum(spark):
-    df = spark.createDataFrame([("q", i, i == 3) for i in range(5)], "qid string, rank int, ok boolean")
-    got = [r["rank"] for r in refilled(df, F.col("ok"), [F.asc("rank")], 3, 10).orderBy("place").collect()]
+    df = spark.createDataFrame([("q", "m", 3, i, i == 3) for i in range(5)], "qid string, mode string, least_ int, rank int, ok boolean")
+    got = [r["rank"] for r in refilled(df, F.col("ok"), [F.asc("rank")]).orderBy(F.desc("wanted"), "rank").collect()]
     assert got == [3, 0, 1]
 
 

@@ -54,17 +54,17 @@ def test_oracle_takes_every_k(spark, tmp_path):
         f = {k: round(2 * sum(h <= k for h in hit) / (k + len(hit)), 9) for k in range(1, min(n, 100) + 1)}
         best = max(f.values())
         want[q] = (min(k for k in f if f[k] == best), best)
-    assert {r["qid"]: (r["best_k"], r["best_f1"]) for r in run(spark, tmp_path, "L09_oracle_every_k")} == want
+    assert {r["qid"]: (r["best_k"], r["best_f1"]) for r in run(spark, tmp_path, "L09_oracle_k")} == want
     assert want["qa"] == (7, 1.0) and want["qb"] == (23, 1.0)
 
 
 def test_neighbours_among_all_labelled(spark):
-    from rankloom.plans.evaluation import FEATURES, nearest
+    from rankloom.plans.diagnosis import CUTOFF, nearest
 
-    width = len(FEATURES)
+    width = len(CUTOFF)
     points = {f"q{i:05d}": ([float(i % 97), float(i)] + [0.0] * (width - 2), i % 30 + 1) for i in range(2300)}
-    train = spark.createDataFrame([(q, z, k) for q, (z, k) in points.items()], "qid string, z array<double>, k int")
-    got = {r["qid"]: [tuple(x) for x in r["near"]] for r in nearest(train.select("qid", "z"), train, block=700).collect()}
+    train = spark.createDataFrame([(0, q, z, k) for q, (z, k) in points.items()], "fold long, qid string, z array<double>, k int")
+    got = {r["qid"]: [tuple(x) for x in r["near"]] for r in nearest(train.select("fold", "qid", "z"), train, block=700).collect()}
     for q in ("q00000", "q01999", "q02299"):
         dist = lambda z: round((sum((a - b) ** 2 for a, b in zip(z, points[q][0])) / width) ** 0.5, 9)
         assert got[q] == sorted((dist(z), k) for o, (z, k) in points.items() if o != q)[:7]
