@@ -2,7 +2,9 @@
 
 import json
 
-from rankloom.sources.local_search import LocalSearch, request_key, wait_before
+import pytest
+
+from rankloom.sources.local_search import LocalSearch, request_key, sanitized, wait_before
 from rankloom.streaming.run_log import windowed_log
 
 
@@ -12,9 +14,22 @@ def test_local_search(spark, tmp_path):
     (tmp_path / f"{request_key('x', 2)}.json").write_text(json.dumps(page), encoding="utf-8-sig")
     (tmp_path / f"{request_key('bad', 2)}.json").write_text("{")
     (tmp_path / f"{request_key('busy', 2)}.json").write_text(json.dumps({"status": 503, "results": []}))
-    df = spark.read.format("local_search").options(path=str(tmp_path), queries=json.dumps(["x", "bad", "busy", "none"]), size="2").load()
-    assert [tuple(r) for r in df.orderBy("rank").collect()] == [("x", 1, "W1", "A"), ("x", 2, "W2", "B")]
-    assert wait_before(2, None) == 2.0 and wait_before(2, "7") == 7.0
+    (tmp_path / f"{request_key('a:b', 2)}.json").write_text(json.dumps({"status": 400}))
+    dated = [{"id": "W4", "title": "C", "publication_date": "2019-05-01"}, {"id": "W5", "title": "D", "publication_date": "2021-05-01"}]
+    (tmp_path / f"{request_key('a b', 2)}.json").write_text(json.dumps({"results": dated}))
+
+    def load(*queries, **more):
+        return spark.read.format("local_search").options(path=str(tmp_path), queries=json.dumps(queries), size=str(more.pop("size", 2)), base="0.01", **more).load()
+
+    assert [tuple(r) for r in load("x").orderBy("rank").collect()] == [("x", 1, "W1", "A"), ("x", 2, "W2", "B")]
+    # A refused query is asked once more with its letters only; dates out of range are left out.
+    assert [tuple(r) for r in load("a:b", since="2020").collect()] == [("a:b", 1, "W5", "D")]
+    for query, why in (("none", "no cached page"), ("bad", "broken page"), ("busy", "status 503")):
+        with pytest.raises(Exception, match=why):
+            load(query).collect()
+    with pytest.raises(Exception, match="1 to 100"):
+        load("x", size=101).collect()
+    assert 2.0 <= wait_before(2, None) <= 2.25 and wait_before(2, "7") == 7.0 and sanitized("a:(b)") == "a b"
 
 
 def test_windowed_log_batch_equals_stream(spark, tmp_path):
