@@ -26,7 +26,12 @@ def root(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     named = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY, None)
     if named:
-        return f"{named.rstrip('/')}/rankloom-{app}"
+        path = f"{named.rstrip('/')}/rankloom-{app}"
+        if app not in _own and (local := path.removeprefix("file://")).startswith("/"):
+            # The session's folder goes with the session; on other file systems ``drop`` has removed most of it.
+            _own[app] = local
+            atexit.register(shutil.rmtree, local, True)
+        return path
     if app not in _own:
         master = spark.sparkContext.master
         if not master.startswith("local"):
