@@ -201,7 +201,7 @@ def k03(spark, d):
     return edges(spark, d).where("out_rank <= 15").groupBy(F.col("dst").alias("node")).agg(support.alias("support"), F.round(bonus, 9).alias("bonus"))
 
 
-@query("K04_merged_bonus")
+@query("K04_merged_bonus", f"WITH {EDGES}, b AS (SELECT dst AS node, list((0.10 / out_rank)::DOUBLE ORDER BY src) AS bs FROM ed WHERE out_rank <= 15 GROUP BY dst) SELECT node, round(list_reduce(bs, lambda a, x: least(0.15::DOUBLE, greatest(a, x) + 0.02::DOUBLE)), 9) AS bonus FROM b")
 def k04(spark, d):
     """Bonus of a node over its paths in order: each further path lifts the best so far by 0.02, up to 0.15."""
     e = edges(spark, d).where("out_rank <= 15").groupBy(F.col("dst").alias("node")).agg(F.array_sort(F.collect_list(F.struct("src", (0.10 / F.col("out_rank")).alias("b")))).alias("bs"))
