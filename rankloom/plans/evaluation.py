@@ -132,11 +132,6 @@ def l03(spark, d):
     return s.select("queries", rnd("mp", "macro_p"), rnd("mr", "macro_r"), rnd("macro_f1"), rnd(f1(F.col("mp"), F.col("mr")), "harmonic"), rnd(micro, "micro_f1"))
 
 
-@query("L04_missing_scored_empty", f"WITH {PER} SELECT qid, gold_count FROM per WHERE predicted = 0")
-def l04(spark, d):
-    return per_query(spark, d).where("predicted = 0").select("qid", "gold_count")
-
-
 _REL = f"""{PER}, rel AS (SELECT r.qid, r.rank, CASE WHEN h.rank IS NULL THEN 0 ELSE 1 END AS rel FROM ranked r LEFT JOIN hits h ON h.qid = r.qid AND h.rank = r.rank)"""
 
 
@@ -316,16 +311,6 @@ def h08(spark, d):
     return blended(spark, d).where("n <= 10").select("qid", "key", "beta", F.col("n").cast("bigint").alias("n"))
 
 
-@query("C01_dataset_profile", """SELECT count(*) AS rows, count(qid) AS qids, count(DISTINCT question) AS questions, quantile_disc(len(question), 0.9) AS p90_chars, median(len(question)) AS median_chars,
-  count(*) FILTER (regexp_full_match(source_meta.published_time, '\\d{8}')) AS compact_dates FROM pasa_like_sample""")
-def c01(spark, d):
-    n = F.length("question")
-    return table(spark, d, "pasa_like_sample").agg(
-        F.count("*").alias("rows"), F.count("qid").alias("qids"), F.count_distinct("question").alias("questions"),
-        F.expr("percentile_disc(0.9) within group (order by length(question))").cast("bigint").alias("p90_chars"), F.median(n).alias("median_chars"),
-        F.count_if(F.col("source_meta.published_time").rlike(r"^\d{8}$")).alias("compact_dates"))
-
-
 @query("Q01_stage_matrix", f"WITH {_BY_SOURCE} SELECT qid, sum(tp) FILTER (source = 'semantic_scholar')::BIGINT AS semantic_scholar, sum(tp) FILTER (source = 'openalex')::BIGINT AS openalex, sum(tp) FILTER (source = 'arxiv')::BIGINT AS arxiv FROM sq GROUP BY qid")
 def q01(spark, d):
     return by_stage(spark, d).groupBy("qid").pivot("source", ["semantic_scholar", "openalex", "arxiv"]).agg(F.sum("tp"))

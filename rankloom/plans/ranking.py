@@ -234,16 +234,6 @@ def i12(spark, d):
     return candidates(spark, d).where("rank <= 20").select("qid", "source", F.col("rank").cast("bigint").alias("rank"), "key")
 
 
-@query("I13_label_counts", f"""WITH {CAND}, l AS (SELECT source, CASE WHEN score >= 0.6 THEN 'high' WHEN score >= 0.3 THEN 'partial' WHEN score IS NULL THEN 'none' ELSE 'low' END AS label FROM cand)
-SELECT source, label, count(*) AS items FROM l GROUP BY GROUPING SETS ((source, label), (label), ())""")
-def i13(spark, d):
-    s = F.col("score")
-    label = F.when(s >= 0.6, "high").when(s >= 0.3, "partial").when(s.isNull(), "none").otherwise("low")
-    rows = candidates(spark, d).select("source", label.alias("label"))
-    sets = [[F.col("source"), F.col("label")], [F.col("label")], []]
-    return rows.groupingSets(sets, F.col("source"), F.col("label")).agg(F.count("*").alias("items"))
-
-
 @query("C05_missing_queries", "SELECT DISTINCT qid FROM pasa_like_sample WHERE qid IS NOT NULL EXCEPT SELECT qid FROM predictions")
 def c05(spark, d):
     return table(spark, d, "pasa_like_sample").where("qid is not null").select("qid").subtract(table(spark, d, "predictions").select("qid"))

@@ -502,3 +502,69 @@ def q14(spark, d):
 @query("A12_artifact_health", "SELECT * FROM (VALUES ('documents', 'ok'), ('gone', 'missing'), ('predictions', 'ok')) t(name, state)")
 def a12(spark, d):
     return spark.createDataFrame(sorted(Artifacts(spark, d).health("predictions", "documents", "gone").items()), "name string, state string")
+
+
+# ---- C01, I13, L04
+
+_DATES = ("%Y%m%d", "%Y-%m-%d", "%Y/%m/%d", "%Y-%m-%dT%H:%M:%S")
+_DATE_SHAPES = (r"^\d{8}$", r"^\d{4}-\d{2}-\d{2}$", r"^\d{4}/\d{2}/\d{2}$", r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$")
+_PARSED = "coalesce(" + ", ".join(f"CASE WHEN regexp_matches(pt, '{s}') THEN try_strptime(pt, '{f}') END" for s, f in zip(_DATE_SHAPES, _DATES)) + ")"
+PROFILE = ("rows", "valid_json", "invalid_json", "not_a_list", "empty_lists", "least_items", "most_items", "mean_items", "median_items", "p90_items", "invalid_questions", "repeated_questions", "dates_read", "dates_unread", "dates_missing", "errors", "warnings")
+
+
+@query("C01_dataset_profile", f"""WITH p AS (SELECT row_id, question, trim(source_meta.published_time) AS pt, answer IS NOT NULL AND json_valid(answer) AS ok, CASE WHEN json_valid(answer) AND json_type(answer) = 'ARRAY' THEN json_array_length(answer) END AS items FROM pasa_like_sample),
+d AS (SELECT *, pt IS NULL AS nodate, {_PARSED} IS NOT NULL AS dated, question IS NULL OR trim(question) = '' AS noq FROM p),
+r AS (SELECT coalesce(sum(n - 1), 0) AS repeated FROM (SELECT count(*) AS n FROM d WHERE NOT noq GROUP BY trim(question))),
+s AS (SELECT count(*)::DOUBLE AS rows, count(*) FILTER (ok)::DOUBLE AS valid_json, count(*) FILTER (NOT ok)::DOUBLE AS invalid_json, count(*) FILTER (ok AND items IS NULL)::DOUBLE AS not_a_list, count(*) FILTER (items = 0)::DOUBLE AS empty_lists, min(items)::DOUBLE AS least_items, max(items)::DOUBLE AS most_items,
+  round(avg(items), 9)::DOUBLE AS mean_items, median(items)::DOUBLE AS median_items, quantile_disc(items, 0.9)::DOUBLE AS p90_items, count(*) FILTER (noq)::DOUBLE AS invalid_questions, (SELECT repeated FROM r)::DOUBLE AS repeated_questions, count(*) FILTER (dated)::DOUBLE AS dates_read, count(*) FILTER (NOT nodate AND NOT dated)::DOUBLE AS dates_unread,
+  count(*) FILTER (nodate)::DOUBLE AS dates_missing, (count(*) FILTER (NOT ok) + count(*) FILTER (ok AND items IS NULL) + count(*) FILTER (noq))::DOUBLE AS errors, (count(*) FILTER (items = 0) + count(*) FILTER (NOT dated))::DOUBLE AS warnings FROM d)
+UNPIVOT s ON {', '.join(PROFILE)} INTO NAME measure VALUE value""")
+def c01(spark, d):
+    """What a benchmark file is like: JSON, lists and their lengths, questions, dates, and how many errors and warnings that makes."""
+    pt = F.trim("source_meta.published_time")
+    formats = ("yyyyMMdd", "yyyy-MM-dd", "yyyy/MM/dd", "yyyy-MM-dd'T'HH:mm:ss")
+    dated = F.coalesce(*[F.when(pt.rlike(s), F.try_to_timestamp(pt, F.lit(f))) for s, f in zip(_DATE_SHAPES, formats)]).isNotNull()
+    whole = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), "answer", F.lit("]"))), "$", "array<variant>")
+    ok = F.coalesce(F.size(whole) == 1, F.lit(False))
+    items = F.when(ok & F.schema_of_variant(whole[0]).startswith("ARRAY"), F.size(F.try_variant_get(whole[0], "$", "array<variant>")))
+    p = table(spark, d, "pasa_like_sample").select("question", ok.alias("ok"), items.alias("items"), dated.alias("dated"), pt.isNull().alias("nodate"), (F.coalesce(F.trim("question"), F.lit("")) == "").alias("noq"))
+    n = lambda c: F.count_if(c).cast("double")
+    c = F.col
+    s = p.agg(F.count("*").cast("double").alias("rows"), n(c("ok")).alias("valid_json"), n(~c("ok")).alias("invalid_json"), n(c("ok") & c("items").isNull()).alias("not_a_list"), n(c("items") == 0).alias("empty_lists"), F.min("items").cast("double").alias("least_items"), F.max("items").cast("double").alias("most_items"),
+              F.round(F.avg("items"), 9).alias("mean_items"), F.median("items").cast("double").alias("median_items"), F.expr("percentile_disc(0.9) within group (order by items)").cast("double").alias("p90_items"), n(c("noq")).alias("invalid_questions"),
+              (F.count_if(~c("noq")) - F.count_distinct(F.when(~c("noq"), F.trim("question")))).cast("double").alias("repeated_questions"), n(c("dated")).alias("dates_read"), n(~c("nodate") & ~c("dated")).alias("dates_unread"), n(c("nodate")).alias("dates_missing"),
+              (n(~c("ok")) + n(c("ok") & c("items").isNull()) + n(c("noq"))).alias("errors"), (n(c("items") == 0) + n(~c("dated"))).alias("warnings"))
+    return s.unpivot([], list(PROFILE), "measure", "value")
+
+
+@query("L04_missing_and_extra", f"WITH {PER}, g AS (SELECT DISTINCT qid FROM gold) SELECT 'missing' AS what, qid, gold_count AS n, 0.0::DOUBLE AS f1 FROM per WHERE predicted = 0 UNION ALL SELECT 'extra', r.qid, count(*), NULL FROM ranked r ANTI JOIN g USING (qid) GROUP BY r.qid")
+def l04(spark, d):
+    """Queries with gold and no results, which score nothing, and queries with results and no gold, which don't score."""
+    missing = per_query(spark, d).where("predicted = 0").select(F.lit("missing").alias("what"), "qid", F.col("gold_count").alias("n"), F.lit(0.0).alias("f1"))
+    extra = ranked(spark, d).join(gold(spark, d).select("qid").distinct(), "qid", "left_anti").groupBy("qid").agg(F.count("*").alias("n"))
+    return missing.unionByName(extra.select(F.lit("extra").alias("what"), "qid", "n", F.lit(None).cast("double").alias("f1")))
+
+
+def _stats_sql() -> str:
+    from rankloom.registry import SQL
+
+    parts = [(SQL["I05_selector_modes"], "label", "label"), (SQL["I03_guard_filter"], "decision", "decision"), (SQL["I07_guard_aware"], "verdict", "verdict")]
+    counted = [f"SELECT '{w}' AS what, mode, {c} AS name, count(*)::DOUBLE AS n FROM ({q}) GROUP BY mode, {c}" for q, w, c in parts]
+    sizes = [f"SELECT '{w}_output' AS what, mode, unnest(['min', 'mean', 'max']) AS name, unnest([min(k), round(avg(k), 9), max(k)])::DOUBLE AS n FROM (SELECT mode, qid, count(*) AS k FROM ({q}) GROUP BY ALL) GROUP BY mode" for q, w, _ in parts]
+    tags = f"SELECT 'tag' AS what, 'balanced' AS mode, t AS name, count(*)::DOUBLE AS n FROM (SELECT unnest(list_concat(tags, lacks)) AS t FROM ({SQL['I06_selector_tags']})) GROUP BY t"
+    return " UNION ALL ".join([*counted, *sizes, tags])
+
+
+@query("I13_selection_stats", _stats_sql())
+def i13(spark, d):
+    """Results by label, decision and verdict in every mode, how many a query gets, and how often each tag stands."""
+    from rankloom.plans.rerank import i03, i05, i06, i07
+
+    out = None
+    for made, name in ((i05(spark, d), "label"), (i03(spark, d), "decision"), (i07(spark, d), "verdict")):
+        by = made.groupBy("mode", F.col(name).alias("name")).agg(F.count("*").cast("double").alias("n")).select(F.lit(name).alias("what"), "mode", "name", "n")
+        k = made.groupBy("mode", "qid").agg(F.count("*").alias("k")).groupBy("mode").agg(F.min("k").cast("double").alias("min"), F.round(F.avg("k"), 9).alias("mean"), F.max("k").cast("double").alias("max"))
+        part = by.unionByName(k.unpivot(["mode"], ["min", "mean", "max"], "name", "n").select(F.lit(f"{name}_output").alias("what"), "mode", "name", "n"))
+        out = part if out is None else out.unionByName(part)
+    tags = i06(spark, d).select(F.explode(F.concat("tags", "lacks")).alias("name")).groupBy("name").agg(F.count("*").cast("double").alias("n"))
+    return out.unionByName(tags.select(F.lit("tag").alias("what"), F.lit("balanced").alias("mode"), "name", "n"))
