@@ -334,7 +334,7 @@ LEAST_WIN = 0.58
 SELECT CAST(row_number() OVER (ORDER BY delta20 DESC, win_rate DESC, delta5 DESC, feature) AS INTEGER) AS n, feature, win_rate, delta20, delta5, 'small_blended_calibration_ablation_warranted' AS decision FROM s UNION ALL SELECT 0, NULL, NULL, NULL, NULL, 'freeze_ranking' WHERE (SELECT count(*) FROM s) = 0""")
 def m12(spark, d):
     """Signals that tell hits from the misses above them and bring more hits into the first 20, best first; else the ranking stays as it is."""
-    f = featured(spark, d)
+    f = stage(featured(spark, d), "featured")
     s = win_rates(f).join(alone(f), "feature").where(f"feature <> 'day8_final_score' and win_rate >= {LEAST_WIN} and delta20 > 0")
     order = Window.partitionBy(F.lit(1)).orderBy(F.desc("delta20"), F.desc("win_rate"), F.desc("delta5"), "feature")  # at most 13 rows
     s = s.select(F.row_number().over(order).alias("n"), "feature", "win_rate", "delta20", "delta5", F.lit("small_blended_calibration_ablation_warranted").alias("decision"))

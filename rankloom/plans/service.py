@@ -19,6 +19,7 @@ from rankloom.plans.scalars import _ARX, _IDS, _T, arx, doi, record_ids, title
 from rankloom.plans.understand import _compact_sql, _lst, compact, not_redundant, suppressed
 from rankloom.plans.understand import candidates_of, questions
 from rankloom.registry import query
+from rankloom.scratch import stage
 
 # ---- B: text
 
@@ -562,6 +563,7 @@ def i13(spark, d):
 
     out = None
     for made, name in ((i05(spark, d), "label"), (i03(spark, d), "decision"), (i07(spark, d), "verdict")):
+        made = stage(made.select("qid", "mode", name), "selected")
         by = made.groupBy("mode", F.col(name).alias("name")).agg(F.count("*").cast("double").alias("n")).select(F.lit(name).alias("what"), "mode", "name", "n")
         k = made.groupBy("mode", "qid").agg(F.count("*").alias("k")).groupBy("mode").agg(F.min("k").cast("double").alias("min"), F.round(F.avg("k"), 9).alias("mean"), F.max("k").cast("double").alias("max"))
         part = by.unionByName(k.unpivot(["mode"], ["min", "mean", "max"], "name", "n").select(F.lit(f"{name}_output").alias("what"), "mode", "name", "n"))
