@@ -202,3 +202,30 @@ def test_wrapped_paragraph_of_any_usual_width():
             else:
                 lines[-1] = (lines[-1] + " " + w).strip()
         assert len(split_text("\n".join(lines) + ".")) == 1
+
+
+def test_every_record_counts_and_trains(spark):
+    """Tokens, their counts and vectors come from all records, in whatever blocks; a sample of 5,000 lacked some."""
+    import numpy as np
+
+    import rankloom.llm.matching as m
+
+    recs = [record(i, "generic", title=f"common w{chr(97 + i % 26)}x{chr(97 + i // 26 % 26)}y{chr(97 + i // 676)}z", authors=[("Ann Fokabar",)]) for i in range(5_300)]
+    recs.append(record(9_000, "generic", title="solitary"))
+    parsed = m.stage(m._raw(spark.createDataFrame(recs, RECORDS)).mapInArrow(m._parse, m.PARSED), "parsed")
+    tokens = ["t:common", "a:fokabar", "t:solitary", "t:absent", *(f"t:w{chr(97 + i % 26)}x{chr(97 + i // 26 % 26)}y{chr(97 + i // 676)}z" for i in range(5_300))]
+    vocabulary, n = m.learn(parsed, block=700)
+    at, rows = vocabulary.look_up(np.array([m._hash(t) for t in tokens]))
+    got = {tokens[i]: r for i, r in zip(at.tolist(), rows)}
+    assert n == 5_301 and set(got) == {*tokens} - {"t:absent"}
+    assert [int(got[t]["n"]) for t in tokens[:3]] == [5_300, 5_300, 1] and all(int(got[t]["n"]) == 1 for t in tokens[4:])
+    sizes = {t: float(np.linalg.norm(r["v"].astype(float))) for t, r in got.items()}
+    assert sizes.pop("t:solitary") == 0 and all(abs(s - 1) < 0.01 for s in sizes.values())  # alone in its record, no walk leaves it
+    assert m.learn(parsed.limit(0)) and m.learn(parsed.limit(0))[1] == 0
+
+
+def test_all_labelled_pairs_are_fitted(spark):
+    from rankloom.llm.matching import _labelled, calibrate
+
+    scored = spark.range(60_000).selectExpr("id as rec_a", "id + 1 as rec_b", "cast(id % 7 as double) / 7 as cosine", "true as same", "cast(id % 7 > 3 as int) as label")
+    assert _labelled(scored)[:, 3].sum() == 60_000 and calibrate(scored)[0] > 0
