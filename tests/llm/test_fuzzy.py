@@ -229,3 +229,32 @@ def test_all_labelled_pairs_are_fitted(spark):
 
     scored = spark.range(60_000).selectExpr("id as rec_a", "id + 1 as rec_b", "cast(id % 7 as double) / 7 as cosine", "true as same", "cast(id % 7 > 3 as int) as label")
     assert _labelled(scored)[:, 3].sum() == 60_000 and calibrate(scored)[0] > 0
+
+
+def test_records_are_hashed_and_trained_in_arrays(monkeypatch):
+    """Few Python calls a record, and a step of a walk is written once for both neighbours: 22 rows a walk and round, not 30."""
+    import cProfile
+    import pstats
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    import rankloom.llm.matching as m
+
+    rnd = random.Random(5)
+    made = ["".join(rnd.choice("bcdfghklm") + rnd.choice("aeiou") for _ in range(rnd.randrange(1, 5))) for _ in range(500)]
+    rows = [(i, i % 2, 0, " ".join(rnd.choices(made, k=9)), rnd.choice(["", "ii"]), False, " ".join(rnd.choices(made, k=i % 4)), 2020, rnd.choice(["", f"9/{i}"]), "") for i in range(2_000)]
+    kinds = dict(c.split() for c in m.PARSED.split(", "))
+    types = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+    batch = pa.RecordBatch.from_arrays([pa.array(c, types[k]) for c, k in zip(zip(*rows), kinds.values())], [*kinds])
+    run = m._hash_parts(SimpleNamespace(value=({}, 0)))
+    (whole,) = run([batch])
+    profile = cProfile.Profile()
+    profile.runcall(lambda: list(run([batch])))
+    assert pstats.Stats(profile).total_calls < 20 * len(rows)
+    alone = [next(iter(run([batch.slice(i, 1)]))) for i in range(60)]
+    assert [sorted(a.column(2)[0].as_py()) for a in alone] == [sorted(k.as_py()) for k in whole.column(2)[:60]]
+    written, add = [], m._add
+    monkeypatch.setattr(m, "_add", lambda to, at, what: (written.append(len(at)), add(to, at, what)))
+    list(m._learn(60, 50_000)([batch.select(["words", "names"])]))
+    assert sum(written) == 3 * 3 * len(rows) * 22
