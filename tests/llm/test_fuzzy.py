@@ -255,6 +255,6 @@ def test_records_are_hashed_and_trained_in_arrays(monkeypatch):
     alone = [next(iter(run([batch.slice(i, 1)]))) for i in range(60)]
     assert [sorted(a.column(2)[0].as_py()) for a in alone] == [sorted(k.as_py()) for k in whole.column(2)[:60]]
     written, add = [], m._add
-    monkeypatch.setattr(m, "_add", lambda to, at, what: (written.append(len(at)), add(to, at, what)))
+    monkeypatch.setattr(m, "_add", lambda to, at, *rest: (written.append(len(at)), add(to, at, *rest)))
     list(m._learn(60, 50_000)([batch.select(["words", "names"])]))
     assert sum(written) == 3 * 3 * len(rows) * 22
