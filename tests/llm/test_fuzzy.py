@@ -94,6 +94,26 @@ def test_variant_pairs(spark):
     assert variant_pairs(spark.createDataFrame([], RECORDS), given).count() == 0
 
 
+def test_no_growing_table_of_names_is_broadcast(spark, monkeypatch):
+    from rankloom.llm import components, names
+
+    plans = []
+
+    def kept(df, tag, **measures):
+        plans.append((tag, df._jdf.queryExecution().executedPlan().toString()))
+        return stage(df, tag, **measures)
+
+    stage = names.stage
+    monkeypatch.setattr(names, "stage", kept)
+    monkeypatch.setattr(components, "stage", kept)
+    recs = [record(i, title=f"t{i}", authors=[(n,)]) for i, n in enumerate(["Robert Fokabarhara", "Bob Fokabarhara", "FOKABARHARA, R.", "Petra Wutelunde"])]
+    found = variant_pairs(spark.createDataFrame(recs, RECORDS), spark.createDataFrame([("Robert", "Bob")], "formal_name string, short_form string"))
+    plans.append(("found", found._jdf.queryExecution().executedPlan().toString()))
+    # Nodes are joined with given names, of which there are few at any size.
+    assert {tag for tag, plan in plans if "Broadcast" in plan} == {"nodes"}
+    assert len(found.collect()) == 3
+
+
 def test_title_words():
     assert title_words("[Preprint] \\emph{On} X-2: Y…")[:3] == (["on", "x", "2", "y"], ["2"], True)
     assert title_words("A study of xyz (Corection)")[1] == ["correction"]
