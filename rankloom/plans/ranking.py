@@ -13,6 +13,7 @@ from rankloom.functions.ident import light_ident
 from rankloom.functions.text import ascii_words
 from rankloom.plans.inputs import CAND, candidates, ident, norm, table
 from rankloom.registry import query
+from rankloom.scratch import grown, stage
 
 # Weight and rank offset of a search channel.
 WEIGHT = {"semantic_scholar": 1.00, "openalex": 0.95, "arxiv": 0.90}
@@ -121,15 +122,80 @@ def f07_all(spark, d):
     return local_search(spark, d)
 
 
+#: Questions and documents that one task scores together.
+ASKED_PART, DOCUMENT_PART = 20_000, 16_000
+
+
 def local_search(spark, d, which: str = "true") -> DataFrame:
-    """Inverted index over documents: tokens meet in one join, scores add up by document."""
-    split = lambda c: F.explode(F.array_distinct(F.split(ascii_words(F.col(c)), " "))).alias("t")
-    q = table(spark, d, "pasa_like_sample").where("question is not null").select("row_id", split("question"))
-    docs = table(spark, d, "documents").where(which).where("text is not null").select("doc_id", split("text"))
-    total = docs.agg(F.count_distinct("doc_id").alias("n"))
-    idf = docs.where("length(t) > 3").groupBy("t").agg(F.count("*").alias("df")).join(F.broadcast(total)).select("t", F.log(F.col("n") / F.col("df")).alias("w"))
-    s = q.join(docs, "t").join(idf, "t").groupBy("row_id", "doc_id").agg(F.round(F.sum("w"), 9).alias("score"))
-    return place(s, F.desc("score"), F.asc("doc_id"), by="row_id").where("place <= 10")
+    """Inverted index over documents: the ten best of each question.
+
+    Only tokens of more than three characters that occur on both sides weigh anything.
+    Questions with the same of these are scored once. A grid of tasks scores every
+    document that shares a token, with one addition a token and document in arrays.
+    """
+    split = lambda c: F.explode(F.filter(F.array_distinct(F.split(ascii_words(F.col(c)), " ")), lambda t: F.length(t) > 3)).alias("t")
+    kept = table(spark, d, "documents").where(which).where("text is not null")
+    q = table(spark, d, "pasa_like_sample").where("question is not null").select("row_id", split("question")).distinct()
+    docs = kept.select("doc_id", split("text")).join(grown(q.select("t").distinct()), "t", "left_semi").distinct()
+    docs = stage(docs.groupBy("doc_id").agg(F.collect_list("t").alias("ts")), "search-docs")
+    total = kept.agg(F.count_distinct("doc_id").alias("n"))
+    idf = docs.select(F.explode("ts").alias("t")).groupBy("t").agg(F.count("*").alias("df")).join(F.broadcast(total)).select("t", F.log(F.col("n") / F.col("df")).alias("w"))
+    asked = q.join(grown(idf), "t").groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("t", "w"))).alias("terms"))
+    asked = stage(asked.withColumn("asked", F.xxhash64("terms.t")), "search-asked")
+    sets = stage(asked.groupBy("asked").agg(F.first("terms").alias("terms")), "search-sets")
+
+    rows = max(1, -(-sets.measured["rows"] // ASKED_PART))
+    columns = max(-(-docs.measured["rows"] // DOCUMENT_PART), min(8, docs.measured["rows"]), 1)
+    hashed = lambda ts: F.transform(ts, lambda t: F.xxhash64(t))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = sets.select(F.pmod("asked", F.lit(rows)).alias("r"), every(columns).alias("c"), "asked", hashed(F.col("terms.t")).alias("ts"), F.col("terms.w").alias("ws"))
+    right = docs.select(every(rows).alias("r"), F.pmod(F.xxhash64("doc_id"), F.lit(columns)).alias("c"), "doc_id", hashed(F.col("ts")).alias("ts"))
+    left, right = (x.select((F.col("r") * columns + F.col("c")).cast("long").alias("cell"), *x.columns[2:]).repartition(rows * columns, "cell") for x in (left, right))
+    kind = kept.schema["doc_id"].dataType.simpleString()
+    found = left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(_best_documents, f"asked long, doc_id {kind}, score double")
+    found = found.withColumn("score", F.round("score", 9))
+    best = place(found, F.desc("score"), F.asc("doc_id"), by="asked").where("place <= 10")
+    return asked.select("row_id", "asked").join(grown(best), "asked").select("row_id", "doc_id", "score", "place")
+
+
+def _best_documents(asked, docs):
+    """(asked, doc_id, score): of these documents the ten best of each set of tokens, ties by doc_id."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    docs = docs.take(pc.sort_indices(docs, sort_keys=[("doc_id", "ascending")], null_placement="at_start")).combine_chunks()
+    ids, ts = docs.column("doc_id").combine_chunks(), docs.column("ts").combine_chunks()
+    of = np.repeat(np.arange(len(ts)), np.diff(ts.offsets.to_numpy()))
+    tokens, at = np.unique(ts.flatten().to_numpy(), return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    bounds = np.searchsorted(at[order], np.arange(len(tokens) + 1))
+    lists = {t: of[order[b:e]] for t, b, e in zip(tokens.tolist(), bounds[:-1].tolist(), bounds[1:].tolist())}
+
+    score, out_a, out_d, out_s = np.zeros(len(ids)), [], [], []
+    for a, terms, weights in zip(*(asked.column(c).to_pylist() for c in ("asked", "ts", "ws"))):
+        met = [(lists[t], w) for t, w in zip(terms, weights) if t in lists]
+        if not met:
+            continue
+        score[:] = 0.0
+        for where, w in met:
+            score[where] += w
+        if min(w for _, w in met) > 0:
+            some = np.flatnonzero(score)
+        else:  # a token of every document weighs nothing, but its documents are found
+            some = np.unique(np.concatenate([where for where, _ in met]))
+        s = score[some]
+        if len(s) > 10:
+            near = np.flatnonzero(s >= np.partition(s, -10)[-10] - 2e-9)
+            # As they are rounded, so they are tied; documents are in order.
+            some, s = some[near], s[near]
+            top = np.argsort(-np.floor(s * 1e9 + 0.5), kind="stable")[:10]
+            some, s = some[top], s[top]
+        out_a.append(np.full(len(some), a, np.int64))
+        out_d.append(some)
+        out_s.append(s)
+    none = [np.zeros(0, np.int64)]
+    return pa.table({"asked": np.concatenate(out_a or none), "doc_id": ids.take(pa.array(np.concatenate(out_d or none))), "score": np.concatenate(out_s or [np.zeros(0)])})
 
 
 _G1 = f"""fused AS (

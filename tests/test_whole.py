@@ -32,6 +32,29 @@ def test_search_and_index_take_every_kind(spark, tmp_path):
     assert {r["doc_id"]: r["text"] for r in run(spark, tmp_path, "B31_inverted_index_all")} == {i: t for i, t, _ in docs if t}
 
 
+def test_search_scores_in_parts(spark, tmp_path, monkeypatch):
+    from math import log
+
+    from rankloom.plans import ranking
+
+    monkeypatch.setattr(ranking, "ASKED_PART", 2, raising=False)
+    monkeypatch.setattr(ranking, "DOCUMENT_PART", 5, raising=False)
+    words = "that with graph sparse tables prune the of".split()
+    docs = [(i, " ".join(["every", *(w for b, w in enumerate(words) if i * 7 >> b & 1)]), "note") for i in range(40)]
+    asked = [(i, "q", " ".join(w for b, w in enumerate(["every", *words]) if i * 5 >> b & 1), None) for i in range(30)] + [(30, "q", "every", None), (31, "q", "the of", None)]
+    # A row that is delivered twice counts once.
+    write(spark, tmp_path, documents=(docs + docs[:9] + [(90, None, "note")], DOCS), pasa_like_sample=(asked + asked[5:7], ASKED))
+    has = {i: {t for t in text.split() if len(t) > 3} for i, text, _ in docs}
+    df = {t: sum(t in ts for ts in has.values()) for ts in has.values() for t in ts}
+    want = set()
+    for i, _, question, _ in asked:
+        met = {d: sorted(ts & set(question.split())) for d, ts in has.items()}
+        scores = sorted((-round(sum(log(40 / df[t]) for t in ts), 9), d) for d, ts in met.items() if ts)
+        want |= {(i, d, abs(s), n) for n, (s, d) in enumerate(scores[:10], 1)}
+    got = [tuple(r) for r in run(spark, tmp_path, "F07_local_search_all")]
+    assert len(got) == len(want) and set(got) == want and any(s == 0 for _, _, s, _ in want)
+
+
 def test_ratio_of_whole_texts(spark, tmp_path):
     t, a = "dense retrieval", "x" * 190 + " a study of dense retrieval"
     write(spark, tmp_path, predictions=([(1, "q", "arxiv", "w", [paper(t, abstract=a)])], PREDS))
